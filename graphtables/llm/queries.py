@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphtables.llm.bpe import op8_byte_bpe
+from graphtables.llm.jaccard_join import op4_jaccard_join
 from graphtables.llm.token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_jaccard_join": op4_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
