@@ -127,21 +127,3 @@ class WordHashes:
             for w in set(words).difference(known):
                 known[w] = digest(w)
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-#: Odd multipliers for the places of a shingle's words.
-PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-
-
-def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; with fewer words than ``width``, one for the whole sequence; none without words."""
-    n = len(words)
-    if n == 0:
-        return np.empty(0, np.uint64)
-    w = min(n, width)
-    m = n - w + 1
-    with np.errstate(over="ignore"):
-        out = np.full(m, w, np.uint64)
-        for k in range(w):
-            out += mix64(words[k : k + m]) * PLACES[k % 5] + np.uint64(k)
-    return np.unique(mix64(out))

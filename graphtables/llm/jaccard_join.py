@@ -2,8 +2,8 @@
 
 Two documents link when ``100 * intersection >= percent * union``.  Texts with the same
 set form a class first, so copies never meet each other.  Each class has a prefix of
-its set under one global order (the heaviest shingles last, all others by hash), long
-enough that two classes that link share a shingle of their prefixes.  A *tile* holds the
+its set under one global order (the rarest shingles first), long enough that two
+classes that link share a shingle of their prefixes.  A *tile* holds the
 classes of one size band that have one prefix shingle in common; only equal and
 neighbouring bands can link.
 
@@ -29,147 +29,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphtables.llm.common import Scratch, WordHashes, map_batches, shingles, slices, table
+from graphtables.llm.common import Scratch, WordHashes, slices, table
 from graphtables.llm.components import components
+from graphtables.llm.shingle_sets import Sets, least_overlap, ordered_sets, rarity, sets_of_nodes, verified, word_counters, words_of
 
-HEAVY = 1 << 16
-#: Heavy shingles that each piece of the input may name.
-NAMED = 4096
 WORDS = 8
-SLOTS = 1 << 25
 
 
-def set_of(raw: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
-    return shingles(hashes.of(raw.lower().split()), width) if raw else np.empty(0, np.uint64)
+def signatures(sets: Sets) -> np.ndarray:
+    """The parity bitmap of every set, as a row of WORDS 64-bit words."""
+    bit = (sets.tokens >> np.uint64(20)).astype(np.int64) % (64 * WORDS)
+    parity = np.bincount(sets.rows * (64 * WORDS) + bit, minlength=len(sets.sizes) * 64 * WORDS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(-1, WORDS)
 
 
-def heavy_shingles(texts: DataFrame, width: int, most: int = HEAVY) -> np.ndarray:
-    """Shingles of most documents, least frequent first.  Each piece of a few MB of all texts names those that it holds most often."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for piece in slices(batches, "text", 8 << 20):
-            sets = [set_of(t, hashes, width) for t in piece.column("text").to_pylist()]
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            at = np.flatnonzero(counts > 1)
-            if len(at) > NAMED:
-                at = at[np.argpartition(counts[at], -NAMED)[-NAMED:]]
-            if len(at):
-                yield pa.record_batch([pa.array(values[at].view(np.int64)), pa.array(counts[at])], ["token", "n"])
-
-    named = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = named.filter("n > 2").orderBy(F.desc("n"), "token").limit(most).toPandas()
-    return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
-
-
-def in_order(tokens: np.ndarray, heavy: np.ndarray, by_value: np.ndarray) -> np.ndarray:
-    """Sorted tokens in the global order.  ``by_value``: argsort of ``heavy``."""
-    if not len(heavy):
-        return tokens
-    ranked = heavy[by_value]
-    at = np.minimum(np.searchsorted(ranked, tokens), len(ranked) - 1)
-    hot = ranked[at] == tokens
-    if not hot.any():
-        return tokens
-    return np.concatenate([tokens[~hot], heavy[np.sort(by_value[at[hot]])]])
-
-
-def least_overlap(n: int, percent: int) -> int:
-    """What a set of n elements must share with any set that it links with."""
-    return -(-percent * n // 100)
-
-
-def signature(tokens: np.ndarray) -> list[int]:
-    bits = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
-
-
-def _class_id(tokens: np.ndarray) -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
-
-
-def classes(texts: DataFrame, heavy: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Each row's class: doc_id, node, n, band; and, where a task meets a class first, prefix and signature."""
-    by_value = np.argsort(heavy)
+def classes(texts: DataFrame, steps: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Each row's class: doc_id, node, n, band; and, where a task meets a class first, its prefix and signature."""
     names = [f"s{k}" for k in range(WORDS)]
     base = np.log(100 / percent) * (1 + 1e-9)
+    shared = texts.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen, steps = WordHashes(), set(), shared.value
         for piece in slices(batches, "text"):
-            rows: list[tuple] = []
-            for text in piece.column("text").to_pylist():
-                tokens = set_of(text, hashes, width)
-                n = len(tokens)
-                if not n:
-                    rows.append((0, 0, 0, None, *[None] * WORDS))
-                    continue
-                node = _class_id(tokens)
-                band = int(np.log(n) / base)
-                if node in seen:
-                    rows.append((node, n, band, None, *[None] * WORDS))
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(node)
-                prefix = in_order(tokens, heavy, by_value)[: n - least_overlap(n, percent) + 1]
-                rows.append((node, n, band, prefix.view(np.int64), *signature(tokens)))
-            node, n, band, prefix, *sig = zip(*rows)
-            yield pa.record_batch([piece.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(band, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(s, pa.int64()) for s in sig)], ["doc_id", "node", "n", "band", "prefix", *names])
+            sets = ordered_sets([words_of(t) for t in piece.column("text").to_pylist()], hashes, width, steps)
+            new = []
+            for i, node in enumerate(sets.nodes.tolist()):
+                if node and node not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(node)
+                    new.append(i)
+            at = np.array(new, np.int64)
+            n = sets.sizes
+            prefix = np.zeros(len(n), bool)
+            prefix[at] = True
+            lists = sets.lists(at, n[at] - least_overlap(n[at], percent) + 1)
+            index = np.zeros(len(n), np.int64)
+            index[at] = np.arange(len(at))
+            spread = lists.take(pa.array(index, mask=~prefix))
+            sig = signatures(sets)
+            band = np.where(n > 0, np.log(np.maximum(n, 1)) / base, 0).astype(np.int32)
+            yield pa.record_batch([piece.column("doc_id"), pa.array(sets.nodes), pa.array(n), pa.array(band), spread, *(pa.array(sig[:, k], mask=~prefix) for k in range(WORDS))], ["doc_id", "node", "n", "band", "prefix", *names])
 
     return texts.mapInArrow(run, "doc_id long, node long, n long, band int, prefix array<long>, " + ", ".join(f"{s} long" for s in names))
 
 
-def bit_filter(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of SLOTS bits, of fixed size, that has the bit of every node; Spark makes it in buckets."""
-    slot = (F.col("node").bitwiseAND(F.lit(SLOTS - 1)) + 1).alias("slot")  # the bitmap functions count from 1
-    rows = nodes.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    out = np.zeros(SLOTS // 8, np.uint8)
-    for r in rows:
-        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + len(bits)] = bits
-    return out
-
-
-def sets_of_nodes(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, tokens of the classes in ``nodes`` and of few others (those whose bit another one shares)."""
-    shared = texts.sparkSession.sparkContext.broadcast(bit_filter(nodes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, bits = WordHashes(), set(), shared.value
-        for piece in slices(batches, "text"):
-            out: list[tuple[int, np.ndarray]] = []
-            for text in piece.column("text").to_pylist():
-                tokens = set_of(text, hashes, width)
-                if len(tokens):
-                    node = _class_id(tokens)
-                    slot = node & (SLOTS - 1)
-                    if node not in seen and bits[slot >> 3] >> (slot & 7) & 1:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(node)
-                        out.append((node, tokens.view(np.int64)))
-            if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["node", "tokens"])
-
-    return texts.select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
-
-
-def _linked(na: str, nb: str, common, percent: int):
-    return (100 + percent) * common >= percent * (F.col(na) + F.col(nb))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, na, b, nb) whose sets overlap enough, as (u, v)."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.filter(_linked("na", "nb", F.size(F.array_intersect("ta", "tb")), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
 def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``df``.
 
@@ -180,8 +85,8 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
     """
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").cast("binary").alias("text"))
     with Scratch(spark) as tmp:
-        heavy = heavy_shingles(texts, width)
-        rows = tmp.table(classes(texts, heavy, width, percent), "classes")
+        steps = rarity(word_counters(texts))
+        rows = tmp.table(classes(texts, steps, width, percent), "classes")
         reps = rows.filter("prefix is not null").dropDuplicates(["node"])
         by_token = W.partitionBy("token").orderBy("n", "node")
         met = (
@@ -200,8 +105,8 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
             .distinct(),
             "pairs",
         )
-        sets = tmp.table(sets_of_nodes(texts, met.select("node"), width), "sets")
-        links = tmp.table(verified(pairs, sets, percent), "links")
+        sets = tmp.table(sets_of_nodes(texts, met.select("node"), lambda t: [t], steps, width), "sets")
+        links = tmp.table(verified(pairs, sets, percent).toDF("u", "v"), "links")
         comp = tmp.table(components(tmp, links), "components")
 
         # Round 2: tiles that still hold more than one component.
@@ -218,7 +123,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
         rest = a.join(b, cond).select("a", "na", "b", "nb").distinct()
         known = pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb"))
         rest = rest.join(known, (F.least("a", "b") == F.col("pa")) & (F.greatest("a", "b") == F.col("pb")), "left_anti")
-        more = tmp.table(verified(rest, sets, percent), "links")
+        more = tmp.table(verified(rest, sets, percent).toDF("u", "v"), "links")
         if not more.isEmpty():
             comp = tmp.table(components(tmp, links.union(more)), "components")
 
