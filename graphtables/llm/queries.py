@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphtables.llm.bpe import op8_byte_bpe
+from graphtables.llm.decontaminate import OP6_SQL, op6_decontaminate
 from graphtables.llm.jaccard_join import op4_jaccard_join
+from graphtables.llm.line_dedup import op10_line_dedup
 from graphtables.llm.token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_decontaminate": op6_decontaminate,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": OP6_SQL,
+}
