@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from graphtables.llm.bpe import op8_byte_bpe
 from graphtables.llm.decontaminate import OP6_SQL, op6_decontaminate
 from graphtables.llm.jaccard_join import op4_jaccard_join
+from graphtables.llm.language import op7_language
 from graphtables.llm.line_dedup import op10_line_dedup
+from graphtables.llm.quality import op5_quality
 from graphtables.llm.token_counts import op3_token_counts
+from graphtables.llm.token_shards import op9_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
+    "op7_language": op7_language,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_shards": op9_token_shards,
     "op10_line_dedup": op10_line_dedup,
 }
 
