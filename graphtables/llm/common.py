@@ -95,6 +95,23 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def most_frequent(df: DataFrame, count_col: str, most: int) -> DataFrame:
+    """Rows of the largest counts, ``most`` of them at most, chosen by a histogram of fixed size.
+
+    Counts of one logarithmic step of the histogram come together or not at all, so what
+    a driver collects is bounded without any task that sees all rows.
+    """
+    step = F.floor(F.log2(F.col(count_col)) * 64).cast("int")
+    found = df.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, held = 1 << 30, 0
+    for r in sorted(found, reverse=True):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["step"]
+    return df.filter(step >= least)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: equal inputs to equal, other inputs to well spread outputs."""
     x = x.astype(np.uint64, copy=True)
@@ -107,23 +124,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered for as many words as ``most``."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256)
+_LOWER[0x41:0x5B] += 0x20
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
+_BASE = 0xD1342543DE82EF95
+_powers = np.ones((2, 1), np.uint64)
 
-    def __init__(self, most: int = 300_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+def _power_table(n: int) -> np.ndarray:
+    """Powers of the base and of its inverse modulo 2**64."""
+    global _powers
+    if _powers.shape[1] < n:
+        n = 1 << (n - 1).bit_length()
+        steps = np.full((2, n), _BASE, np.uint64)
+        steps[1] = pow(_BASE, -1, 1 << 64)
+        steps[:, 0] = 1
+        _powers = np.multiply.accumulate(steps, axis=1, dtype=np.uint64)
+    return _powers
 
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            digest = xxhash.xxh3_64_intdigest
-            for w in set(words).difference(known):
-                known[w] = digest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+def hash_words(text: np.ndarray, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of UTF-8 bytes, A-Z lower-cased, and where each word begins.
+
+    Words are what ASCII white space parts.  A word's hash is a polynomial in a fixed base
+    over values of its bytes, so those of all words follow from one running sum; the sum
+    is taken over segments of whole words, so memory is bounded whatever the length.
+    """
+    inside = ~_SPACE[text]
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + segment, "right")))
+        b = ends[j - 1]
+        up, down = _power_table(int(b - a))
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[text[a:b]] * up[: b - a], out=sums[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out, starts
+
+
+def joined(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other, each ended by a line feed, and where each begins."""
+    sizes = np.fromiter((len(r) + 1 if r else 1 for r in raws), np.int64, len(raws))
+    return np.frombuffer(b"\n".join([r or b"" for r in raws] + [b""]), np.uint8), np.cumsum(sizes) - sizes

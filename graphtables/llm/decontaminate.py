@@ -19,37 +19,28 @@ goes to all tasks in turn and is met with all documents; nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm.common import WordHashes, mix64, raw_texts, slices, table
-from graphtables.llm.shingle_sets import PLACES, words_of
+from graphtables.llm.common import raw_texts, slices, table
+from graphtables.llm.shingle_sets import PIECE, shingle_hashes, whole_texts
 
 BLOCK_BYTES = 8 << 20
 HASHES = 32
 FILTER_BITS = 22
 
 
-def _shingles(words: list[list[bytes]], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(raws: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all texts in the order of their places, and how many each text has."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    spread = mix64(hashes.of(list(chain.from_iterable(words))))
-    ends = np.cumsum(lens)
-    begins = ends - lens
-    counts = np.where(lens >= width, lens - width + 1, np.minimum(lens, 1))
-    out = np.empty(int(counts.sum()), np.uint64)
-    to = np.cumsum(counts) - counts
-    at = np.arange(len(out)) - np.repeat(to, counts) + np.repeat(begins, counts)
-    size = np.repeat(np.minimum(lens, width), counts)
-    out[:] = size.astype(np.uint64)
-    for j in range(width):
-        has = np.flatnonzero(size > j) if j and (lens < width).any() else slice(None)
-        out[has] += spread[at[has] + j] * np.uint64(PLACES[j % 5]) + np.uint64(j)
-    return mix64(out), counts
+    rows = whole_texts(raws)
+    h, row, _ = shingle_hashes(rows.words, rows.lens, width)
+    counts = np.bincount(row, minlength=len(raws))
+    if (np.diff(row) < 0).any():  # texts of few words come first
+        h = h[np.argsort(row, kind="stable")]
+    return h, counts
 
 
 def _hashed(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -61,11 +52,10 @@ class ItemIndex:
     """Items of one block: their sets, and their MinHash values by size partition."""
 
     def __init__(self, ids: list[int], texts: list[bytes], width: int, hashes: int):
-        words = WordHashes()
         self.width, self.hashes = width, hashes
         self.ids, self.sets = [], []
         for i, t in zip(ids, texts):
-            tokens = np.unique(_shingles([words_of(t)], words, width)[0])
+            tokens = np.unique(_shingles([t], width)[0])
             if len(tokens):
                 self.ids.append(i)
                 self.sets.append(tokens)
@@ -121,9 +111,9 @@ class ItemIndex:
                         lo += 1
         return found
 
-    def hits(self, raws: list[bytes | None], hashes: WordHashes, percent: int) -> list[tuple[int, int, int, int]]:
+    def hits(self, raws: list[bytes | None], percent: int) -> list[tuple[int, int, int, int]]:
         """(text, item id, shared, size of the item) of every verified pair."""
-        tokens, counts = _shingles([words_of(r) for r in raws], hashes, self.width)
+        tokens, counts = _shingles(raws, self.width)
         ends = np.cumsum(counts)
         out = []
         last, own = -1, np.empty(0, np.uint64)
@@ -162,9 +152,8 @@ def contained_items(spark: SparkSession, df: DataFrame, items: DataFrame, width:
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
-            for piece in slices(batches, "text"):
-                rows = shared.value.hits(piece.column("text").to_pylist(), words, percent)
+            for piece in slices(batches, "text", PIECE):
+                rows = shared.value.hits(piece.column("text").to_pylist(), percent)
                 if rows:
                     at, item, n, m = zip(*rows)
                     yield pa.record_batch([piece.column("doc_id").take(pa.array(at)), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
@@ -180,9 +169,8 @@ def without_contaminated(spark: SparkSession, df: DataFrame, items: DataFrame, w
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
-            for piece in slices(batches, text_col):
-                bad = {x[0] for x in shared.value.hits(raw_texts(piece, text_col), words, percent)}
+            for piece in slices(batches, text_col, PIECE):
+                bad = {x[0] for x in shared.value.hits(raw_texts(piece, text_col), percent)}
                 yield piece.filter(pa.array([i not in bad for i in range(piece.num_rows)])) if bad else piece
 
         df = df.mapInArrow(run, df.schema)

@@ -3,18 +3,22 @@
 Two documents link when ``100 * intersection >= percent * union``.  Texts with the same
 set form a class first, so copies never meet each other.  Each class has a prefix of
 its set under one global order (the rarest shingles first), long enough that two
-classes that link share a shingle of their prefixes.  A *tile* holds the
-classes of one size band that have one prefix shingle in common; only equal and
-neighbouring bands can link.
-
-Round 1 ties each class of a tile to the tile's smallest class and to its neighbour by
-size.  Large groups of near copies merge here with a few links for each class.
-Round 2 takes all pairs of a tile whose classes are still in different components and
-whose signatures allow a link: the parity bitmap of a set has a bit for each of 512
-hash values, and ``popcount(a xor b)`` is at most the size of the symmetric difference,
-which bounds the overlap from above.  What is left is verified by intersecting the
-sorted sets.  So no link between different components is missed, and pairs within a
-component are not enumerated.
+classes that link share a shingle of their prefixes.  All classes with one prefix
+shingle in common have a leader, the smallest of them.  A *tile* holds the classes that
+have one leader, in bands of size; only equal and neighbouring bands can link.  Two
+classes that share a shingle share its leader, so they meet in a tile, and near copies
+that share very many shingles still meet in few.
+
+Round 1 ties each class to at most two of its leaders and to one class of each of the
+TIES places before it in its tiles.  Large groups of near copies merge here with a few
+links for each class.
+Round 2 takes all pairs of a tile whose classes are still in different components.
+In either round a pair must first pass its signatures: the parity bitmap of a set has a
+bit for each of 2048 hash values, and ``popcount(a xor b)`` is at most the size of the
+symmetric difference, which bounds the overlap from above.  What is left is verified by
+intersecting the sets themselves, which are made again for the texts that need it.  So
+no link between different components is missed, and pairs within a component are not
+enumerated.
 
 Shingles and classes are known by 64-bit hashes.
 """
@@ -29,50 +33,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphtables.llm.common import Scratch, WordHashes, slices, table
+from graphtables.llm.common import Scratch, slices, table
 from graphtables.llm.components import components
-from graphtables.llm.shingle_sets import Sets, least_overlap, ordered_sets, rarity, sets_of_nodes, verified, word_counters, words_of
+from graphtables.llm.shingle_sets import PIECE, least_overlap, may_link, pieces_of, sets_of_nodes, signatures, verified, whole_texts, word_rarity
 
-WORDS = 8
-
-
-def signatures(sets: Sets) -> np.ndarray:
-    """The parity bitmap of every set, as a row of WORDS 64-bit words."""
-    bit = (sets.tokens >> np.uint64(20)).astype(np.int64) % (64 * WORDS)
-    parity = np.bincount(sets.rows * (64 * WORDS) + bit, minlength=len(sets.sizes) * 64 * WORDS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(-1, WORDS)
+WORDS = 32
+TIES = 8
+SIGNATURE = [f"s{k}" for k in range(WORDS)]
 
 
 def classes(texts: DataFrame, steps: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Each row's class: doc_id, node, n, band; and, where a task meets a class first, its prefix and signature."""
-    names = [f"s{k}" for k in range(WORDS)]
-    base = np.log(100 / percent) * (1 + 1e-9)
+    """Each row's class: doc_id, h, node, n; and, where a task meets a class first, its prefix and signature."""
     shared = texts.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, steps = WordHashes(), set(), shared.value
-        for piece in slices(batches, "text"):
-            sets = ordered_sets([words_of(t) for t in piece.column("text").to_pylist()], hashes, width, steps)
-            new = []
-            for i, node in enumerate(sets.nodes.tolist()):
-                if node and node not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(node)
-                    new.append(i)
-            at = np.array(new, np.int64)
-            n = sets.sizes
-            prefix = np.zeros(len(n), bool)
-            prefix[at] = True
-            lists = sets.lists(at, n[at] - least_overlap(n[at], percent) + 1)
-            index = np.zeros(len(n), np.int64)
-            index[at] = np.arange(len(at))
-            spread = lists.take(pa.array(index, mask=~prefix))
-            sig = signatures(sets)
-            band = np.where(n > 0, np.log(np.maximum(n, 1)) / base, 0).astype(np.int32)
-            yield pa.record_batch([piece.column("doc_id"), pa.array(sets.nodes), pa.array(n), pa.array(band), spread, *(pa.array(sig[:, k], mask=~prefix) for k in range(WORDS))], ["doc_id", "node", "n", "band", "prefix", *names])
-
-    return texts.mapInArrow(run, "doc_id long, node long, n long, band int, prefix array<long>, " + ", ".join(f"{s} long" for s in names))
+        seen, steps = set(), shared.value
+        for piece in slices(batches, "text", PIECE):
+            for at_rows, sets in pieces_of(whole_texts(piece.column("text").to_pylist()), width, steps):
+                new = []
+                for i, node in enumerate(sets.nodes.tolist()):
+                    if node and node not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(node)
+                        new.append(i)
+                at, n = np.array(new, np.int64), sets.sizes
+                index = np.full(len(n), -1)
+                index[at] = np.arange(len(at))
+                prefix = sets.lists(at, n[at] - least_overlap(n[at], percent) + 1).take(pa.array(index, mask=index < 0))
+                sig = signatures(sets, WORDS)
+                yield pa.record_batch([piece.column("doc_id")[at_rows], piece.column("h")[at_rows], pa.array(sets.nodes), pa.array(n), prefix, *(pa.array(sig[:, k], mask=index < 0) for k in range(WORDS))], ["doc_id", "h", "node", "n", "prefix", *SIGNATURE])
+
+    return texts.mapInArrow(run, "doc_id long, h long, node long, n long, prefix array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,49 +75,55 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
     apart by their texts; component_id is the smallest id that is not null, and null if
     there is none.  Other columns are not read.
     """
-    texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").cast("binary").alias("text"))
+    texts = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[id_col].cast("long"), df[text_col].cast("string")).alias("h"), df[text_col].cast("string").cast("binary").alias("text"))
+    similar = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     with Scratch(spark) as tmp:
-        steps = rarity(word_counters(texts))
+        steps = word_rarity(texts)
         rows = tmp.table(classes(texts, steps, width, percent), "classes")
-        reps = rows.filter("prefix is not null").dropDuplicates(["node"])
+        signed = tmp.table(rows.filter("s0 is not null").groupBy("node").agg(F.first("h").alias("h"), *(F.first(s).alias(s) for s in SIGNATURE)), "signatures")
+        band = F.floor(F.ln(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band")
+
+        # Tiles: classes that share a prefix shingle with a smaller one, by the smallest that shares it.
         by_token = W.partitionBy("token").orderBy("n", "node")
-        met = (
-            reps.select("node", "n", "band", F.explode("prefix").alias("token"))
-            .withColumn("before", F.lag(F.struct("node", "n")).over(by_token))
-            .withColumn("after", F.lead("node").over(by_token))
-            .filter("before is not null or after is not null")
-            .drop("after")
-        )
-        met = tmp.table(met, "tiles")
-        first = F.first(F.struct("node", "n")).over(W.partitionBy("token", "band").orderBy("n", "node"))
-        ties = met.withColumn("first", first).select("node", "n", F.explode(F.array("before", "first")).alias("to")).filter("`to` is not null and `to`.node <> node")
-        pairs = tmp.table(
-            ties.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b"), F.when(F.col("node") < F.col("to.node"), F.col("n")).otherwise(F.col("to.n")).alias("na"), F.when(F.col("node") < F.col("to.node"), F.col("to.n")).otherwise(F.col("n")).alias("nb"))
-            .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .distinct(),
-            "pairs",
-        )
-        sets = tmp.table(sets_of_nodes(texts, met.select("node"), lambda t: [t], steps, width), "sets")
-        links = tmp.table(verified(pairs, sets, percent).toDF("u", "v"), "links")
+        leader = F.first(F.struct("n", "node")).over(by_token)
+        listed = rows.select("node", "n", F.explode("prefix").alias("token")).withColumn("leader", leader)
+        led = tmp.table(listed.filter("leader.node <> node").select("leader", "node", "n").distinct(), "led")
+        tiles = tmp.table(led.union(led.select("leader", F.col("leader.node").alias("node"), F.col("leader.n").alias("n")).distinct()), "tiles")
+
+        def hopeful(pairs: DataFrame) -> DataFrame:
+            """Those of ``pairs`` (a, na, b, nb) whose signatures allow a link."""
+            sides = [signed.select(F.col("node").alias(c), *(F.col(s).alias(c + s) for s in SIGNATURE)) for c in "ab"]
+            both = pairs.join(sides[0], "a").join(sides[1], "b")
+            return both.filter(may_link(*([F.col(c + s) for s in SIGNATURE] for c in "ab"), F.col("na"), F.col("nb"), percent)).select("a", "na", "b", "nb")
+
+        def links_of(pairs: DataFrame) -> DataFrame:
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            sets = tmp.table(sets_of_nodes(texts, signed.select("node", "h").join(nodes, "node"), whole_texts, steps, width), "sets")
+            return tmp.table(verified(pairs, sets, percent).toDF("u", "v"), "links")
+
+        place = W.partitionBy("leader").orderBy("n", "node")
+        lags = [f"before{k}" for k in range(1, TIES + 1)]
+        ties = tiles.select("leader", "node", "n", *(F.lag(F.struct("n", "node"), k).over(place).alias(b) for k, b in enumerate(lags, 1)))
+        ties = ties.filter("before1 is not null").groupBy("node", "n").agg(F.array(F.min("leader"), F.max("leader"), *(F.min(b) for b in lags)).alias("to"))
+        pairs = ties.select("node", "n", F.explode(F.array_distinct(F.array_compact("to"))).alias("to")).select(F.col("to.node").alias("a"), F.col("to.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).filter(similar)
+        pairs = tmp.table(hopeful(pairs), "pairs")
+        links = links_of(pairs)
         comp = tmp.table(components(tmp, links), "components")
 
         # Round 2: tiles that still hold more than one component.
-        placed = met.select("token", "node", "n", "band").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-        sig = [f"s{k}" for k in range(WORDS)]
-        open_ = tmp.table(placed.join(mixed, "token").join(reps.select("node", *sig), "node"), "open")
-        a = open_.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *(F.col(s).alias(f"a{s}") for s in sig))
-        b = open_.select("token", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *(F.col(s).alias(f"b{s}") for s in sig))
-        apart = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in sig[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
-        # overlap <= (na + nb - apart) / 2, and a link needs (100 + percent) * overlap >= percent * (na + nb)
-        fits = (100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))
-        cond = (a["token"] == b["token"]) & (a["band"] == b["band"]) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (100 * F.col("na") >= percent * F.col("nb")) & (F.col("ca") != F.col("cb")) & fits
-        rest = a.join(b, cond).select("a", "na", "b", "nb").distinct()
-        known = pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb"))
-        rest = rest.join(known, (F.least("a", "b") == F.col("pa")) & (F.greatest("a", "b") == F.col("pb")), "left_anti")
-        more = tmp.table(verified(rest, sets, percent).toDF("u", "v"), "links")
-        if not more.isEmpty():
-            comp = tmp.table(components(tmp, links.union(more)), "components")
+        placed = tiles.join(comp, "node", "left").select(F.col("leader.node").alias("tile"), "node", "n", band, F.coalesce("comp", "node").alias("comp"))
+        mixed = placed.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("tile")
+        open_ = tmp.table(placed.join(mixed, "tile").join(signed.drop("h"), "node"), "open")
+        a = open_.select("tile", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *(F.col(s).alias(f"a{s}") for s in SIGNATURE))
+        b = open_.select("tile", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *(F.col(s).alias(f"b{s}") for s in SIGNATURE))
+        meet = (a["tile"] == b["tile"]) & (a["band"] == b["band"]) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & F.expr(similar) & (F.col("ca") != F.col("cb"))
+        meet = meet & may_link(*([F.col(c + s) for s in SIGNATURE] for c in "ab"), F.col("na"), F.col("nb"), percent)
+        rest = a.join(b, meet).select("a", "na", "b", "nb").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb")
+        rest = tmp.table(rest, "pairs")
+        if not rest.isEmpty():
+            more = links_of(rest)
+            if not more.isEmpty():
+                comp = tmp.table(components(tmp, links.union(more)), "components")
 
         # A class's component is named by the smallest id of its rows.
         full = rows.filter("n > 0")
@@ -137,5 +135,21 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
         return tmp.keep(out.union(empty))
 
 
+def one_of_each(spark: SparkSession, df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, that are not linked to one of a smaller id.
+
+    Rows without an id or without shingles stay.  Of rows that repeat both id and text
+    one stays, if there are any such in a component.
+    """
+    marks = near_duplicates(spark, df, width, percent, id_col, text_col).filter("n_shingles > 0 and doc_id is not null")
+    gone = marks.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = df.join(gone, df[id_col].cast("long") == gone["__id"], "left_anti")
+    again = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__id")
+    if again.isEmpty():
+        return kept
+    on = kept[id_col].cast("long") == again["__id"]
+    return kept.join(again, on, "left_anti").union(kept.join(again, on, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))

@@ -7,12 +7,17 @@ earlier line has ``100 * intersection >= percent * union`` with it, whether that
 stays or goes.  So the result depends on no order of execution.
 
 Lines of the same set form a class, which its earliest line stands for.  Classes that
-match share a shingle of their prefixes (prefix filter), are of similar size (length
-filter, by bands of sizes that are equal or next to each other) and still have enough
-shingles from the shared one on (positional filter).  One earlier match is enough, so
-each class is first held against the earliest class of its lists and the one before it;
-only classes without a match then meet all earlier ones.  Shingles and classes are known
-by 64-bit hashes.
+match share a shingle of their prefixes (prefix filter).  All classes with one prefix
+shingle in common have a leader, the smallest of them, and a *tile* holds the classes of
+one leader, each with the first place at which it has a shingle of this leader.  Two
+classes that match meet in the tile of their first common shingle, where no more can be
+in common than follows those places (positional filter), in bands of size that are equal
+or next to each other (length filter).  Parity bitmaps of the sets then bound the
+overlap from above, and what is left is verified on the sets.
+
+One earlier match is enough, so each class is first held against the earliest class of
+its tiles and some of those before it; only classes without a match then meet all
+earlier ones.  Shingles and classes are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,33 +30,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphtables.llm.common import Scratch, WordHashes, slices, table
-from graphtables.llm.shingle_sets import ROWS, least_overlap, ordered_sets, rarity, sets_of_nodes, verified, word_counters, words_of
+from graphtables.llm.common import Scratch, slices, table
+from graphtables.llm.shingle_sets import PIECE, least_overlap, lines, may_link, pieces_of, sets_of_nodes, signatures, verified, word_rarity
 
-
-def lines_of(text: bytes) -> list[bytes]:
-    return text.split(b"\n")
+WORDS = 8
+TIES = 8
+SIGNATURE = [f"s{k}" for k in range(WORDS)]
 
 
 def _line_classes(texts: DataFrame, steps: np.ndarray, width: int, percent: int) -> DataFrame:
-    """A row for each line with words: its key, its class and, where a task meets the class first, its prefix."""
+    """A row for each line with words: its key, its class and, where a task meets the class first, its prefix and signature."""
     shared = texts.sparkSession.sparkContext.broadcast(steps)
-    base = np.log(100 / percent) * (1 + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, steps = WordHashes(), set(), shared.value
-        for piece in slices(batches, "text"):
-            docs, numbers, words = [], [], []
-            for d, text in enumerate(piece.column("text").to_pylist()):
-                if text:
-                    for k, line in enumerate(text.lower().split(b"\n")):
-                        w = line.split()
-                        if w:
-                            docs.append(d)
-                            numbers.append(k)
-                            words.append(w)
-            for k in range(0, len(words), ROWS):
-                sets = ordered_sets(words[k : k + ROWS], hashes, width, steps)
+        seen, steps = set(), shared.value
+        for piece in slices(batches, "text", PIECE):
+            rows = lines(piece.column("text").to_pylist())
+            for at_rows, sets in pieces_of(rows, width, steps):
                 new = []
                 for i, node in enumerate(sets.nodes.tolist()):
                     if node not in seen:
@@ -60,14 +55,14 @@ def _line_classes(texts: DataFrame, steps: np.ndarray, width: int, percent: int)
                         seen.add(node)
                         new.append(i)
                 at, n = np.array(new, np.int64), sets.sizes
-                lists = sets.lists(at, n[at] - least_overlap(n[at], percent) + 1)
                 index = np.full(len(n), -1)
                 index[at] = np.arange(len(at))
-                prefix = lists.take(pa.array(index, mask=index < 0))
-                own = pa.array(docs[k : k + ROWS])
-                yield pa.record_batch([piece.column("doc_id").take(own), piece.column("h").take(own), pa.array(numbers[k : k + ROWS], pa.int32()), pa.array(sets.nodes), pa.array(n.astype(np.int32)), pa.array((np.log(n) / base).astype(np.int32)), prefix], ["doc_id", "h", "line_no", "node", "n", "band", "prefix"])
+                prefix = sets.lists(at, n[at] - least_overlap(n[at], percent) + 1).take(pa.array(index, mask=index < 0))
+                sig = signatures(sets, WORDS)
+                own = pa.array(rows.text[at_rows])
+                yield pa.record_batch([piece.column("doc_id").take(own), piece.column("h").take(own), pa.array(rows.number[at_rows].astype(np.int32)), pa.array(sets.nodes), pa.array(n.astype(np.int32)), prefix, *(pa.array(sig[:, k], mask=index < 0) for k in range(WORDS))], ["doc_id", "h", "line_no", "node", "n", "prefix", *SIGNATURE])
 
-    return texts.mapInArrow(run, "doc_id long, h long, line_no int, node long, n int, band int, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, h long, line_no int, node long, n int, prefix array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,38 +73,56 @@ def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int
     each gives its rows here.  Other columns are not read.
     """
     texts = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[text_col].cast("string")).alias("h"), df[text_col].cast("string").cast("binary").alias("text"))
+    similar = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    # Nothing in common comes before the places pa and pb.
+    enough = f"(100 + {percent}) * least(na - pa, nb - pb) >= {percent} * (na + nb)"
     with Scratch(spark) as tmp:
-        steps = rarity(word_counters(texts))
+        steps = word_rarity(texts)
         rows = tmp.table(_line_classes(texts, steps, width, percent), "lines")
         key = F.struct("doc_id", "h", "line_no")
-        reps = tmp.table(rows.groupBy("node").agg(F.min(key).alias("key"), F.max("n").alias("n"), F.max("band").alias("band"), F.first("prefix", ignorenulls=True).alias("prefix")), "reps")
-        by_token = W.partitionBy("token").orderBy("node")
-        shared = (
-            reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-            .withColumn("met", F.coalesce(F.lag("node").over(by_token), F.lead("node").over(by_token)))
-            .filter("met is not null")
-            .drop("met")
-        )
-        met = tmp.table(shared.join(reps.select("node", "key", "band"), "node"), "tiles")
-        early = F.struct("node", "n")
-        ties = met.withColumn("first", F.first(early).over(W.partitionBy("token", "band").orderBy("key"))).withColumn("before", F.lag(early).over(W.partitionBy("token").orderBy("key")))
-        similar = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-        pairs = ties.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.array("first", "before")).alias("to")).select("a", "na", F.col("to.node").alias("b"), F.col("to.n").alias("nb"))
-        pairs = tmp.table(pairs.filter("b is not null and a <> b").filter(similar).distinct(), "pairs")
-        sets = tmp.table(sets_of_nodes(texts, met.select("node"), lines_of, steps, width), "sets")
-        late = tmp.table(verified(pairs, sets, percent).select(F.col("a").alias("node")).distinct(), "late")
+        firsts = tmp.table(rows.groupBy("node").agg(F.min(key).alias("key")), "firsts")
+        band = F.floor(F.ln(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band")
+
+        # Tiles: classes that share a prefix shingle with a smaller one, by the smallest that shares it.
+        by_token = W.partitionBy("token").orderBy("n", "node")
+        both_ends = by_token.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        listed = rows.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        led = listed.withColumn("leader", F.first("node").over(by_token)).withColumn("last", F.last("node").over(both_ends)).filter("leader <> last")
+        led = led.groupBy("leader", "node", "n").agg(F.min("pos").alias("pos"))
+        tiles = tmp.table(led.join(firsts, "node").select("leader", "node", "n", "pos", "key", band), "tiles")
+        signed = tmp.table(rows.filter("s0 is not null").join(tiles.select("node").distinct(), "node").groupBy("node").agg(*(F.first(s).alias(s) for s in SIGNATURE)), "signatures")
+        sides = [signed.select(F.col("node").alias(c), *(F.col(s).alias(c + s) for s in SIGNATURE)) for c in "ab"]
+        alike = may_link(*([F.col(c + s) for s in SIGNATURE] for c in "ab"), F.col("na"), F.col("nb"), percent)
+
+        def matched(pairs: DataFrame) -> DataFrame:
+            """The later classes (node) of verified ``pairs`` (a, na, b, nb), b the earlier."""
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            sets = tmp.table(sets_of_nodes(texts, firsts.join(nodes, "node").select("node", "key.h"), lines, steps, width), "sets")
+            return tmp.table(verified(pairs, sets, percent).select(F.col("a").alias("node")).distinct(), "late")
+
+        early = F.struct("key", "node", "n", "pos")
+        place = W.partitionBy("leader").orderBy("key")
+        ties = tiles.select("node", F.col("n").alias("na"), F.col("pos").alias("pa"), F.array(F.first(early).over(W.partitionBy("leader", "band").orderBy("key")), *(F.lag(early, k).over(place) for k in range(1, TIES + 1))).alias("to"))
+        ties = ties.select("node", "na", "pa", F.explode(F.array_compact("to")).alias("to")).select(F.col("node").alias("a"), "na", "pa", F.col("to.node").alias("b"), F.col("to.n").alias("nb"), F.col("to.pos").alias("pb"), F.col("to.key").alias("kb"))
+        # Of all tiles together, the earliest and the latest few.
+        some = ties.filter("a <> b").filter(similar).filter(enough).groupBy("a", "na").agg(F.collect_set(F.struct("kb", "b", "nb")).alias("to"))
+        some = some.select("a", "na", F.explode(F.array_distinct(F.concat(F.slice(F.array_sort("to"), 1, TIES), F.slice(F.sort_array("to", False), 1, TIES)))).alias("to"))
+        pairs = some.select("a", "na", F.col("to.b").alias("b"), F.col("to.nb").alias("nb"))
+        pairs = tmp.table(pairs.join(sides[0], "a").join(sides[1], "b").filter(alike).select("a", "na", "b", "nb"), "pairs")
+        late = matched(pairs)
 
         # Classes without a match meet all earlier ones.
-        a = met.join(late, "node", "left_anti").select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("key").alias("ka"))
-        b = met.select("token", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("key").alias("kb"))
-        # Shared shingles: those before this one in both lists, at most, and those from it on.
-        enough = F.expr(f"(100 + {percent}) * (least(pa, pb) + least(na - pa, nb - pb)) >= {percent} * (na + nb)")
-        rest = a.join(b, ["token", "band"]).filter(F.expr("kb < ka")).filter(similar).filter(enough).select("a", "na", "b", "nb").distinct()
-        rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb")
-        late = late.union(tmp.table(verified(rest, sets, percent).select(F.col("a").alias("node")).distinct(), "late"))
+        open_ = tiles.join(late.withColumn("late", F.lit(True)), "node", "left").join(signed, "node")
+        a = open_.filter("late is null").select("leader", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("key").alias("ka"), *(F.col(s).alias("a" + s) for s in SIGNATURE))
+        b = open_.select("leader", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("key").alias("kb"), *(F.col(s).alias("b" + s) for s in SIGNATURE))
+        meet = (a["leader"] == b["leader"]) & (a["band"] == b["band"]) & F.expr("kb < ka") & F.expr(similar) & F.expr(enough) & alike
+        rest = a.join(b, meet).select("a", "na", "b", "nb").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb")
+        rest = tmp.table(rest, "pairs")
+        if not rest.isEmpty():
+            late = late.union(matched(rest))
 
         late = late.withColumn("late", F.lit(True))
-        judged = rows.select("doc_id", "h", "line_no", "node", F.col("n").cast("long").alias("n_shingles")).join(reps.select("node", F.col("key").alias("first")).join(late, "node", "left"), "node")
+        judged = rows.select("doc_id", "h", "line_no", "node", F.col("n").cast("long").alias("n_shingles")).join(firsts.select("node", F.col("key").alias("first")).join(late, "node", "left"), "node")
         out = judged.filter(F.col("late").isNotNull() | ~key.eqNullSafe(F.col("first"))).select("doc_id", "h", "line_no", "n_shingles")
         return tmp.keep(out)
 

@@ -13,52 +13,80 @@ of wide-spread passages out of the prefixes, however many texts hold them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphtables.llm.common import WordHashes, mix64, slices
+from graphtables.llm.common import hash_words, joined, mix64, slices
 
-COUNTER_BITS = 18
+COUNTER_BITS = 20
 SLOTS = 1 << 25
 ROWS = 1 << 19
+PIECE = 2 << 20
+BLOCK = 4096
 #: Odd multipliers for the places of a shingle's words.
 PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
-#: From a text to the units whose sets are joined: the text itself, or its lines.
-Units = Callable[[bytes], list[bytes]]
 
+class Rows(NamedTuple):
+    """Units whose sets are joined: the hashes of all their words, how many words each has, the text it is from and its number there."""
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    return raw.lower().split() if raw else []
+    words: np.ndarray
+    lens: np.ndarray
+    text: np.ndarray
+    number: np.ndarray
 
 
-def word_counters(texts: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
-    """How often the words of each counter occur in all texts; 2**bits counters, whatever the corpus holds."""
+def whole_texts(raws: list[bytes | None]) -> Rows:
+    text, begins = joined(raws)
+    words, starts = hash_words(text)
+    ends = np.searchsorted(starts, np.append(begins[1:], len(text)))
+    return Rows(words, np.diff(ends, prepend=0), np.arange(len(raws)), np.zeros(len(raws), np.int64))
+
+
+def lines(raws: list[bytes | None]) -> Rows:
+    """The lines that have words."""
+    text, begins = joined(raws)
+    words, starts = hash_words(text)
+    feeds = np.flatnonzero(text == 10)
+    ends = np.searchsorted(starts, feeds)
+    lens = np.diff(ends, prepend=0)
+    line_begins = np.concatenate([[0], feeds[:-1] + 1])
+    owner = np.searchsorted(begins, line_begins, "right") - 1
+    first = np.searchsorted(line_begins, begins)
+    full = np.flatnonzero(lens)
+    return Rows(words, lens[full], owner[full], full - first[owner[full]])
+
+
+def word_rarity(texts: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
+    """How often the words of each counter occur in all texts, in 64 logarithmic steps; 2**bits counters, whatever the corpus holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(1 << bits, np.int64)
-        for piece in slices(batches, "text"):
-            words = list(chain.from_iterable(map(words_of, piece.column("text").to_pylist())))
-            total += np.bincount((hashes.of(words) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        total = np.zeros(1 << bits, np.int64)
+        for piece in slices(batches, "text", PIECE):
+            words, _ = hash_words(joined(piece.column("text").to_pylist())[0])
+            total += np.bincount((words >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(total)
         if len(at):
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, np.int64)
-    out[rows["counter"].to_numpy()] = rows["n"].to_numpy()
+    def pack(counters: pa.Table) -> pa.Table:
+        at = counters.column("counter").to_numpy()
+        out = np.zeros(BLOCK, np.uint8)
+        out[at % BLOCK] = np.minimum(1.5 * np.log2(counters.column("n").to_numpy() + 1.0), 63)
+        return pa.table([pa.array([at[0] // BLOCK], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "steps"])
+
+    counted = texts.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    blocks = counted.groupBy(F.expr(f"counter div {BLOCK}")).applyInArrow(pack, "block int, steps binary").collect()
+    out = np.zeros(1 << bits, np.uint8)
+    for r in blocks:
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["steps"]), np.uint8)
     return out
 
 
-def rarity(counters: np.ndarray) -> np.ndarray:
-    """Counts in 64 logarithmic steps."""
-    return np.minimum(1.5 * np.log2(counters + 1.0), 63).astype(np.uint64)
-
-
 class Sets:
     """Sets of a list of texts: the i-th one is tokens[offsets[i]:offsets[i + 1]], in the order of the corpus."""
 
@@ -81,15 +109,13 @@ class Sets:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(taken))
 
 
-def ordered_sets(words: list[list[bytes]], hashes: WordHashes, width: int, steps: np.ndarray) -> Sets:
-    """``steps``: the rarity of each counter."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    flat = hashes.of(list(chain.from_iterable(words)))
-    row = np.repeat(np.arange(len(words)), lens)
+def shingle_hashes(flat: np.ndarray, lens: np.ndarray, width: int, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and rarity (the least of its words') of every shingle of rows of ``lens`` words each."""
+    row = np.repeat(np.arange(len(lens)), lens)
     begins = np.cumsum(lens) - lens
     left = np.repeat(begins + lens, lens) - np.arange(len(flat))
     spread = mix64(flat)
-    rare = steps[(flat >> np.uint64(64 - len(steps).bit_length() + 1)).astype(np.int64)]
+    rare = steps[(flat >> np.uint64(65 - len(steps).bit_length())).astype(np.int64)] if steps is not None else np.zeros(len(flat), np.uint8)
     hs, rs, ks = [], [], []
     for w in range(1, width + 1):
         at = np.flatnonzero(left >= w) if w == width else begins[lens == w]
@@ -104,22 +130,53 @@ def ordered_sets(words: list[list[bytes]], hashes: WordHashes, width: int, steps
         rs.append(row[at])
         ks.append(k)
     if not hs:
-        return Sets(np.empty(0, np.uint64), np.empty(0, np.int64), len(words))
-    h, r, k = map(np.concatenate, (hs, rs, ks))
-    key = (r.astype(np.uint64) << np.uint64(44)) | (k << np.uint64(38)) | (h >> np.uint64(26))
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)
+    return np.concatenate(hs), np.concatenate(rs), np.concatenate(ks)
+
+
+def ordered_sets(flat: np.ndarray, lens: np.ndarray, width: int, steps: np.ndarray) -> Sets:
+    """``steps``: the rarity of each counter."""
+    h, r, k = shingle_hashes(flat, lens, width, steps)
+    if not len(h):
+        return Sets(h, r, len(lens))
+    key = (r.astype(np.uint64) << np.uint64(44)) | (k.astype(np.uint64) << np.uint64(38)) | (h >> np.uint64(26))
     order = np.argsort(key)
     if ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
         order = np.lexsort((h, key))
     h, r = h[order], r[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return Sets(h[new], r[new], len(words))
+    return Sets(h[new], r[new], len(lens))
+
+
+def pieces_of(rows: Rows, width: int, steps: np.ndarray) -> Iterator[tuple[slice, Sets]]:
+    """The sets of the rows, ROWS of them at a time."""
+    ends = np.cumsum(rows.lens)
+    for k in range(0, len(rows.lens), ROWS):
+        lens = rows.lens[k : k + ROWS]
+        last = ends[k + len(lens) - 1]
+        yield slice(k, k + len(lens)), ordered_sets(rows.words[last - lens.sum() : last], lens, width, steps)
+
+
+def signatures(sets: Sets, words: int) -> np.ndarray:
+    """The parity bitmap of every set, as a row of 64-bit words."""
+    bit = (sets.tokens >> np.uint64(20)).astype(np.int64) % (64 * words)
+    parity = np.bincount(sets.rows * (64 * words) + bit, minlength=len(sets.sizes) * 64 * words) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(-1, words)
 
 
-def bit_filter(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of SLOTS bits, of fixed size, that has the bit of every node; Spark makes it in buckets."""
-    slot = (F.col("node").bitwiseAND(F.lit(SLOTS - 1)) + 1).alias("slot")  # the bitmap functions count from 1
-    rows = nodes.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+def may_link(a: list[Column], b: list[Column], na: Column, nb: Column, percent: int) -> Column:
+    """Whether sets of these sizes and signatures can link: their overlap is at most (na + nb - differing bits) / 2."""
+    apart = F.bit_count(a[0].bitwiseXOR(b[0]))
+    for x, y in zip(a[1:], b[1:]):
+        apart = apart + F.bit_count(x.bitwiseXOR(y))
+    return (100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb)
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of SLOTS bits, of fixed size, that has the bit of every ``key``; Spark makes it in buckets."""
+    slot = (F.col("key").bitwiseAND(F.lit(SLOTS - 1)) + 1).alias("slot")  # the bitmap functions count from 1
+    rows = keys.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
     out = np.zeros(SLOTS // 8, np.uint8)
     for r in rows:
         bits = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -128,31 +185,39 @@ def bit_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of_nodes(texts: DataFrame, nodes: DataFrame, units: Units, steps: np.ndarray, width: int) -> DataFrame:
-    """node, tokens array<long> of the classes in ``nodes`` and of few others (those that share another one's bit)."""
-    shared = texts.sparkSession.sparkContext.broadcast((bit_filter(nodes), steps))
+def sets_of_nodes(texts: DataFrame, wanted: DataFrame, units: Callable[[list[bytes | None]], Rows], steps: np.ndarray, width: int) -> DataFrame:
+    """node, tokens array<long> of the classes in ``wanted`` (node, h) and of some others.
+
+    ``h`` is the hash of one text (in column h of ``texts``) that has the class; only
+    texts whose bit is set are taken apart again, and of their classes those whose bit
+    is set go on.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((bit_filter(wanted.select(F.col("h").alias("key"))), bit_filter(wanted.select(F.col("node").alias("key"))), steps))
+
+    def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        slot = keys & (SLOTS - 1)
+        return (bits[slot >> 3] >> (slot & 7) & 1) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, steps = shared.value
-        hashes, seen = WordHashes(), set()
-        for piece in slices(batches, "text"):
-            words = [words_of(u) for t in piece.column("text").to_pylist() if t for u in units(t)]
-            for k in range(0, len(words), ROWS):
-                sets = ordered_sets(words[k : k + ROWS], hashes, width, steps)
-                slot = sets.nodes & (SLOTS - 1)
-                rows = []
-                for i in np.flatnonzero((sets.sizes > 0) & ((bits[slot >> 3] >> (slot & 7) & 1) > 0)).tolist():
-                    node = int(sets.nodes[i])
-                    if node not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(node)
-                        rows.append(i)
-                if rows:
-                    at = np.array(rows)
-                    yield pa.record_batch([pa.array(sets.nodes[at]), sets.lists(at, sets.sizes[at])], ["node", "tokens"])
-
-    return texts.select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
+        by_text, by_node, steps = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            some = batch.filter(pa.array(has(by_text, batch.column("h").to_numpy())))
+            for piece in slices(iter([some]), "text", PIECE):
+                for _, sets in pieces_of(units(piece.column("text").to_pylist()), width, steps):
+                    rows = []
+                    for i in np.flatnonzero((sets.sizes > 0) & has(by_node, sets.nodes)).tolist():
+                        node = int(sets.nodes[i])
+                        if node not in seen:
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            seen.add(node)
+                            rows.append(i)
+                    if rows:
+                        at = np.array(rows)
+                        yield pa.record_batch([pa.array(sets.nodes[at]), sets.lists(at, sets.sizes[at])], ["node", "tokens"])
+
+    return texts.select("h", "text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:

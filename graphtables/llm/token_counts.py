@@ -5,7 +5,7 @@ pre-tokens never reach across white space, so a text has as many tokens as its
 pre-tokens together, and special strings, which hold no white space, lie within one.
 
 1. All pre-tokens of the corpus are counted and each distinct one is tokenized once.
-2. The ``head`` most frequent (a fixed number, so the size of what is broadcast is
+2. The ``head`` most frequent at most (a fixed number, so the size of what is broadcast is
    bounded) go to every task, which sums them while it reads a text again.
 3. All others, each of them rarer than any of the head, are joined by value: one row
    for each document and rare pre-token, so no key of that join is hot.
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm.common import Scratch, slices, table
+from graphtables.llm.common import Scratch, most_frequent, slices, table
 
 HEAD = 1 << 18
 #: No pre-token holds a blank, so these join with none.
@@ -94,7 +94,7 @@ def count_tokens(spark: SparkSession, df: DataFrame, path: str, limit: int = 204
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").cast("binary").alias("text"))
     with Scratch(spark) as tmp:
         vocab = tmp.table(piece_table(texts, path), "pieces")
-        top = vocab.orderBy(F.desc("n_seen"), "word").limit(head).select("word", "n_pieces").toArrow().combine_chunks()
+        top = most_frequent(vocab, "n_seen", head).select("word", "n_pieces").toArrow().combine_chunks()
         shared = spark.sparkContext.broadcast((top.column(0).cast(pa.binary()), top.column(1)))
 
         key = tmp.root

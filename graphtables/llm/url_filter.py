@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm.common import ASCII_UPPER, slices, table
+from graphtables.llm.common import ASCII_UPPER, Scratch, most_frequent, slices, table
 
 VOCABULARY = 50_000
 LONGEST = 24
@@ -137,7 +137,7 @@ def _counted(df: DataFrame, column: str, count, fields: str) -> DataFrame:
     return df.mapInArrow(run, fields).groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
-def unigrams(pages: DataFrame, seeds: list[str], most: int = VOCABULARY) -> dict[str, int]:
+def unigrams(tmp: Scratch, pages: DataFrame, seeds: list[str], most: int = VOCABULARY) -> dict[str, int]:
     """The most frequent words of all page texts, with the seed words."""
 
     def count(counts: Counter, htmls: list[bytes | None]) -> None:
@@ -145,14 +145,15 @@ def unigrams(pages: DataFrame, seeds: list[str], most: int = VOCABULARY) -> dict
             if html:
                 counts.update((w.decode(), 0) for w in _WORD.findall(_TAG.sub(b" ", html.lower())) if w.isascii() and len(w) <= LONGEST)
 
-    top = _counted(pages.select(pages["html"]), "html", count, "word string, kind int, n long").orderBy(F.desc("n"), "word").limit(most).collect()
+    counted = tmp.table(_counted(pages.select(pages["html"]), "html", count, "word string, kind int, n long"), "words")
+    top = sorted(most_frequent(counted, "n", most).collect())
     out = {r["word"]: r["n"] for r in top}
     for w in seeds:
         out[w] = max(out.get(w, 0), 1 + sum(out.values()) // 10_000)
     return out
 
 
-def train_bayes(pages: DataFrame, segmenter: Segmenter, seeds: list[str], most: int = VOCABULARY) -> Bayes:
+def train_bayes(tmp: Scratch, pages: DataFrame, segmenter: Segmenter, seeds: list[str], most: int = VOCABULARY) -> Bayes:
     shared = pages.sparkSession.sparkContext.broadcast(segmenter)
     marks = {"h:" + w for w in seeds}
 
@@ -166,7 +167,8 @@ def train_bayes(pages: DataFrame, segmenter: Segmenter, seeds: list[str], most:
 
     counted = _counted(pages.select(pages["url"]), "url", count, "word string, kind int, n long")
     rows = counted.groupBy("word").agg(F.sum(F.expr("if(kind = 0, n, 0)")).alias("good"), F.sum(F.expr("if(kind = 1, n, 0)")).alias("bad"))
-    top = rows.orderBy((F.col("word") == "").desc(), F.desc(F.col("good") + F.col("bad")), "word").limit(most).collect()
+    rows = tmp.table(rows.withColumn("n", F.col("good") + F.col("bad")), "tokens")
+    top = most_frequent(rows.filter("word <> ''"), "n", most).union(rows.filter("word = ''")).collect()
     tokens = {r["word"]: (r["good"], r["bad"]) for r in top}
     urls = tokens.pop("", (0, 0))
     for w in marks:  # a seed is evidence even where no url has it
@@ -183,8 +185,9 @@ def judge(spark: SparkSession, df: DataFrame, rules: list[tuple[str, str, str]]
     add no words.  Rows repeat as they do in the input; other columns are not read.
     """
     pages = df.select(df[id_col].cast("long").alias("page_id"), df[url_col].cast("string").cast("binary").alias("url"), df[html_col].cast("string").cast("binary").alias("html"))
-    segmenter = Segmenter(unigrams(pages, seeds))
-    shared = spark.sparkContext.broadcast((segmenter, train_bayes(pages, segmenter, seeds)))
+    with Scratch(spark) as tmp:
+        segmenter = Segmenter(unigrams(tmp, pages, seeds))
+        shared = spark.sparkContext.broadcast((segmenter, train_bayes(tmp, pages, segmenter, seeds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter, bayes = shared.value
