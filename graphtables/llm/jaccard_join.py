@@ -14,7 +14,7 @@ TIES places before it in its tiles.  Large groups of near copies merge here with
 links for each class.
 Round 2 takes all pairs of a tile whose classes are still in different components.
 In either round a pair must first pass its signatures: the parity bitmap of a set has a
-bit for each of 2048 hash values, and ``popcount(a xor b)`` is at most the size of the
+bit for each of 1536 hash values, and ``popcount(a xor b)`` is at most the size of the
 symmetric difference, which bounds the overlap from above.  What is left is verified by
 intersecting the sets themselves, which are made again for the texts that need it.  So
 no link between different components is missed, and pairs within a component are not
@@ -37,8 +37,8 @@ from graphtables.llm.common import Scratch, slices, table
 from graphtables.llm.components import components
 from graphtables.llm.shingle_sets import PIECE, least_overlap, may_link, pieces_of, sets_of_nodes, signatures, verified, whole_texts, word_rarity
 
-WORDS = 32
-TIES = 8
+WORDS = 24
+TIES = 4
 SIGNATURE = [f"s{k}" for k in range(WORDS)]
 
 
@@ -98,7 +98,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
 
         def links_of(pairs: DataFrame) -> DataFrame:
             nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            sets = tmp.table(sets_of_nodes(texts, signed.select("node", "h").join(nodes, "node"), whole_texts, steps, width), "sets")
+            sets = sets_of_nodes(tmp, texts, signed.select("node", "h").join(nodes, "node"), whole_texts, steps, width)
             return tmp.table(verified(pairs, sets, percent).toDF("u", "v"), "links")
 
         place = W.partitionBy("leader").orderBy("n", "node")

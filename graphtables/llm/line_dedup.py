@@ -2,7 +2,7 @@
 
 Lines end at a line feed.  A line is the set of its five-word shingles (the whole line,
 where it has fewer words), ordered by rarity as ``shingle_sets`` says.  Lines are
-ordered by (doc_id, hash of the text, line number), a null id first; a line goes if any
+ordered by (doc_id, hash of id and text, line number), a null id first; a line goes if any
 earlier line has ``100 * intersection >= percent * union`` with it, whether that one
 stays or goes.  So the result depends on no order of execution.
 
@@ -66,13 +66,13 @@ def _line_classes(texts: DataFrame, steps: np.ndarray, width: int, percent: int)
 
 
 def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (xxhash64 of the text), line_no (from 0) and n_shingles of each line that matches an earlier one.
+    """doc_id, h (xxhash64 of id and text), line_no (from 0) and n_shingles of each line that matches an earlier one.
 
     Lines without words match nothing, and null and empty texts have none.  Rows that
     repeat both id and text are one document: the same lines go in each of them, and
     each gives its rows here.  Other columns are not read.
     """
-    texts = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[text_col].cast("string")).alias("h"), df[text_col].cast("string").cast("binary").alias("text"))
+    texts = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[id_col].cast("long"), df[text_col].cast("string")).alias("h"), df[text_col].cast("string").cast("binary").alias("text"))
     similar = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     # Nothing in common comes before the places pa and pb.
     enough = f"(100 + {percent}) * least(na - pa, nb - pb) >= {percent} * (na + nb)"
@@ -97,7 +97,7 @@ def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int
         def matched(pairs: DataFrame) -> DataFrame:
             """The later classes (node) of verified ``pairs`` (a, na, b, nb), b the earlier."""
             nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            sets = tmp.table(sets_of_nodes(texts, firsts.join(nodes, "node").select("node", "key.h"), lines, steps, width), "sets")
+            sets = sets_of_nodes(tmp, texts, firsts.join(nodes, "node").select("node", "key.h"), lines, steps, width)
             return tmp.table(verified(pairs, sets, percent).select(F.col("a").alias("node")).distinct(), "late")
 
         early = F.struct("key", "node", "n", "pos")
@@ -134,7 +134,7 @@ def without_lines(df: DataFrame, late: DataFrame, id_col: str = "doc_id", text_c
     earlier rows.  Rows that had no words to begin with stay.
     """
     gone = late.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list(F.col("line_no")).alias("__gone"))
-    on = df[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(df[text_col].cast("string")) == gone["__h"])
+    on = df[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(df[id_col].cast("long"), df[text_col].cast("string")) == gone["__h"])
     joined = df.join(gone, on, "left")
     lines = F.split(df[text_col], "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))

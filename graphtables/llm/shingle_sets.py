@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphtables.llm.common import hash_words, joined, mix64, slices
+from graphtables.llm.common import Scratch, hash_words, joined, mix64, slices
 
 COUNTER_BITS = 20
 SLOTS = 1 << 25
@@ -185,12 +185,12 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of_nodes(texts: DataFrame, wanted: DataFrame, units: Callable[[list[bytes | None]], Rows], steps: np.ndarray, width: int) -> DataFrame:
+def sets_of_nodes(tmp: Scratch, texts: DataFrame, wanted: DataFrame, units: Callable[[list[bytes | None]], Rows], steps: np.ndarray, width: int) -> DataFrame:
     """node, tokens array<long> of the classes in ``wanted`` (node, h) and of some others.
 
     ``h`` is the hash of one text (in column h of ``texts``) that has the class; only
     texts whose bit is set are taken apart again, and of their classes those whose bit
-    is set go on.
+    is set go on.  A class that comes from several texts, or tasks, is kept once.
     """
     shared = texts.sparkSession.sparkContext.broadcast((bit_filter(wanted.select(F.col("h").alias("key"))), bit_filter(wanted.select(F.col("node").alias("key"))), steps))
 
@@ -217,7 +217,9 @@ def sets_of_nodes(texts: DataFrame, wanted: DataFrame, units: Callable[[list[byt
                         at = np.array(rows)
                         yield pa.record_batch([pa.array(sets.nodes[at]), sets.lists(at, sets.sizes[at])], ["node", "tokens"])
 
-    return texts.select("h", "text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
+    sets = tmp.table(texts.select("h", "text").mapInArrow(run, "node long, tokens array<long>"), "sets")
+    n, nodes = sets.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    return sets if n == nodes else tmp.table(sets.dropDuplicates(["node"]), "sets")
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
