@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtables.llm.common import raw_texts, slices, table
-from graphtables.llm.shingle_sets import PIECE, shingle_hashes, whole_texts
+from graphtables.llm.shingle_sets import PIECE, shingle_hashes, shingles_sql, whole_texts
 
 BLOCK_BYTES = 8 << 20
 HASHES = 32
@@ -181,13 +181,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_SETS = """
-    SELECT {id}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
-    FROM (SELECT {id}, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table})
-"""
 OP6_SQL = f"""
-WITH d AS (SELECT DISTINCT doc_id, g FROM ({_SETS.format(id="doc_id", table="documents")})),
-     i AS (SELECT DISTINCT item_id, g FROM ({_SETS.format(id="item_id", table="benchmark")})),
+WITH d AS (SELECT DISTINCT doc_id, g FROM ({shingles_sql("doc_id", "documents")})),
+     i AS (SELECT DISTINCT item_id, g FROM ({shingles_sql("item_id", "benchmark")})),
      n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item
 FROM d JOIN i USING (g) JOIN n USING (item_id)

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 
 from graphtables.llm.common import Scratch, slices, table
 from graphtables.llm.components import components
-from graphtables.llm.shingle_sets import PIECE, least_overlap, may_link, pieces_of, sets_of_nodes, signatures, verified, whole_texts, word_rarity
+from graphtables.llm.shingle_sets import PIECE, least_overlap, may_link, pieces_of, sets_of_nodes, shingles_sql, signatures, verified, whole_texts, word_rarity
 
 WORDS = 24
 TIES = 4
@@ -153,3 +153,14 @@ def one_of_each(spark: SparkSession, df: DataFrame, width: int = 5, percent: int
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = f"""
+WITH RECURSIVE s AS (SELECT DISTINCT doc_id, g FROM ({shingles_sql("doc_id", "documents")})),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+     links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+     reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""

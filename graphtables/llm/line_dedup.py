@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphtables.llm.common import Scratch, slices, table
-from graphtables.llm.shingle_sets import PIECE, least_overlap, lines, may_link, pieces_of, sets_of_nodes, signatures, verified, word_rarity
+from graphtables.llm.shingle_sets import PIECE, least_overlap, lines, may_link, pieces_of, sets_of_nodes, shingles_sql, signatures, verified, word_rarity
 
 WORDS = 8
 TIES = 8
@@ -145,3 +145,16 @@ def without_lines(df: DataFrame, late: DataFrame, id_col: str = "doc_id", text_c
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "n_shingles")
+
+
+#: Ids are unique in the tables, so lines are in the order of (doc_id, line_no).
+OP10_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+     lines AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM split),
+     s AS (SELECT DISTINCT doc_id, line_no, g FROM ({shingles_sql("doc_id, line_no", "lines")})),
+     n AS (SELECT doc_id, line_no, count(*) AS n FROM s GROUP BY 1, 2),
+     pairs AS (SELECT y.doc_id, y.line_no, x.doc_id AS d, x.line_no AS l, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND (x.doc_id, x.line_no) < (y.doc_id, y.line_no) GROUP BY ALL)
+SELECT DISTINCT p.doc_id, p.line_no, y.n AS n_shingles
+FROM pairs p JOIN n y ON y.doc_id = p.doc_id AND y.line_no = p.line_no JOIN n x ON x.doc_id = p.d AND x.line_no = p.l
+WHERE 100 * p.c >= 80 * (x.n + y.n - p.c)
+"""

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from graphtables.llm.ann import op2_nearest_neighbours
 from graphtables.llm.bpe import op8_byte_bpe
 from graphtables.llm.decontaminate import OP6_SQL, op6_decontaminate
-from graphtables.llm.jaccard_join import op4_jaccard_join
+from graphtables.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from graphtables.llm.language import op7_language
-from graphtables.llm.line_dedup import op10_line_dedup
+from graphtables.llm.line_dedup import OP10_SQL, op10_line_dedup
 from graphtables.llm.quality import op5_quality
 from graphtables.llm.token_counts import op3_token_counts
 from graphtables.llm.token_shards import op9_token_shards
@@ -31,5 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": OP4_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op10_line_dedup": OP10_SQL,
 }

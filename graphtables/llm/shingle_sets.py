@@ -238,3 +238,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
     return both.filter(overlap_links("na", "nb", F.size(F.array_intersect("ta", "tb")), percent)).select("a", "b")
+
+
+def shingles_sql(key: str, table: str) -> str:
+    """DuckDB SQL of (key, g): the shingles of five words of each row's ``text``, g as text, repeats and all."""
+    return f"""
+    SELECT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+    FROM (SELECT {key}, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table})
+    """
