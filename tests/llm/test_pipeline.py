@@ -42,14 +42,16 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, seen["tokens"].collect()))
 
 
-def test_contamination_sql(spark):
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    got = queries.QUERIES["op6_decontaminate"](spark, DATA)
-    assert sorted(map(tuple, got.select("doc_id", "item_id", "n_shared", "n_item").collect())) == sorted(c.sql(queries.ORACLE_SQL["op6_decontaminate"]).fetchall())
+    wanted = c.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, DATA)
+    assert sorted(map(tuple, got.select(wanted.columns).collect())) == sorted(wanted.fetchall())
 
 
 def test_registered():
