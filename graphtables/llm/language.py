@@ -199,25 +199,30 @@ def train(df: DataFrame, rows: int = ROWS) -> Model:
     return model
 
 
+def decisions(model: Model, sums: WordSums, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    words = [words_of(t) for t in texts]
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    full = np.flatnonzero(lens)
+    names, scores = [UNKNOWN] * len(words), np.zeros(len(words))
+    if len(full) and model.languages:
+        each = sums.of(list(chain.from_iterable(words))).astype(np.float64)
+        total = np.add.reduceat(each, (np.cumsum(lens) - lens)[full])
+        best, scores[full] = model.decide(total[:, :-1] / np.maximum(total[:, -1:], 1))
+        for i, k in zip(full.tolist(), best.tolist()):
+            names[i] = model.languages[k]
+    return names, scores
+
+
 def predict(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``df`` (doc_id, text)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     state: list[WordSums] = []
 
     def make(piece: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
         if not state:
-            state.append(WordSums(model.weights))
-        words = [words_of(t) for t in piece.column("text").to_pylist()]
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        full = np.flatnonzero(lens)
-        names, scores = [UNKNOWN] * len(words), np.zeros(len(words))
-        if len(full) and model.languages:
-            sums = state[0].of(list(chain.from_iterable(words))).astype(np.float64)
-            total = np.add.reduceat(sums, (np.cumsum(lens) - lens)[full])
-            best, scores[full] = model.decide(total[:, :-1] / np.maximum(total[:, -1:], 1))
-            for i, k in zip(full.tolist(), best.tolist()):
-                names[i] = model.languages[k]
+            state.append(WordSums(shared.value.weights))
+        names, scores = decisions(shared.value, state[0], piece.column("text").to_pylist())
         return pa.record_batch([piece.column("doc_id"), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     out = map_batches(df.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double", most=2 << 20)
@@ -247,16 +252,8 @@ def known_language(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = WordSums(shared.value.weights)
         for piece in slices(batches, text_col, 2 << 20):
-            keep = []
-            for text in piece.column(text_col).to_pylist():
-                words = words_of(text)
-                if words and shared.value.languages:
-                    total = sums.of(words).astype(np.float64).sum(0)
-                    best, _ = shared.value.decide((total[:-1] / max(total[-1], 1))[None, :])
-                    keep.append(bool(shared.value.languages[best[0]]))
-                else:
-                    keep.append(False)
-            yield piece.filter(pa.array(keep, pa.bool_()))
+            names, _ = decisions(shared.value, sums, piece.column(text_col).to_pylist())
+            yield piece.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
