@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Workers live on after a task: what Arrow frees goes back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,6 +32,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows here are whole documents: unless the session says otherwise, Arrow batches get a thousand of them, not ten thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 class Scratch:
     """Tables written below the shared checkpoint folder while an operator runs.
 
@@ -39,6 +49,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Scratch:
@@ -86,6 +97,8 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", most: int = 4 << 20) -> DataFrame:
     """Apply ``make`` to each piece of rows that hold at most ``most`` bytes of ``column`` together."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, column, most):
             out = make(piece)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm.common import raw_texts, slices, table
+from graphtables.llm.common import raw_texts, slices, small_batches, table
 from graphtables.llm.shingle_sets import PIECE, shingle_hashes, shingles_sql, whole_texts
 
 BLOCK_BYTES = 8 << 20
@@ -165,6 +165,7 @@ def contained_items(spark: SparkSession, df: DataFrame, items: DataFrame, width:
 
 def without_contaminated(spark: SparkSession, df: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, hashes: int = HASHES, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns as they are, that hold no item."""
+    small_batches(spark)
     for index in item_blocks(items, width, hashes, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(index)
 

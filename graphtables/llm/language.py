@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtables.llm.common import fold, map_batches, mix64, slices, table
+from graphtables.llm.common import fold, map_batches, mix64, slices, small_batches, table
 
 BITS = 17
 GRAMS = 4
@@ -149,7 +149,7 @@ class Model:
 class WordSums:
     """What each word adds to each decision, and its number of n-grams; remembered for as many words as ``most``."""
 
-    def __init__(self, weights: np.ndarray, most: int = 200_000):
+    def __init__(self, weights: np.ndarray, most: int = 100_000):
         self.weights, self.most = weights, most
         self.known: dict[str, int] = {}
         self.sums = np.zeros((0, weights.shape[1] + 1), np.float32)
@@ -246,6 +246,7 @@ def languages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_c
 
 def known_language(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df``, all columns as they are, whose language can be told: those not ``und``."""
+    small_batches(spark)
     model = train(_columns(df, id_col, text_col, lang_col))
     shared = spark.sparkContext.broadcast(model)
 
