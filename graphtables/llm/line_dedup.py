@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from graphtables.llm.common import Scratch, slices, table
 from graphtables.llm.shingle_sets import PIECE, least_overlap, lines, may_link, pieces_of, sets_of_nodes, shingles_sql, signatures, verified, word_rarity
 
-WORDS = 8
+WORDS = 4
 TIES = 8
 SIGNATURE = [f"s{k}" for k in range(WORDS)]
 
@@ -80,16 +80,18 @@ def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int
         steps = word_rarity(texts)
         rows = tmp.table(_line_classes(texts, steps, width, percent), "lines")
         key = F.struct("doc_id", "h", "line_no")
-        firsts = tmp.table(rows.groupBy("node").agg(F.min(key).alias("key")), "firsts")
+        place = F.rank().over(W.partitionBy("node").orderBy("doc_id", "h", "line_no"))
+        judged = tmp.table(rows.select("doc_id", "h", "line_no", "node", F.col("n").cast("long").alias("n_shingles"), (place == 1).alias("first")), "judged")
+        firsts = judged.filter("first").select("node", key.alias("key"))
         band = F.floor(F.ln(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band")
 
         # Tiles: classes that share a prefix shingle with a smaller one, by the smallest that shares it.
-        by_token = W.partitionBy("token").orderBy("n", "node")
-        both_ends = by_token.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        listed = rows.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        led = listed.withColumn("leader", F.first("node").over(by_token)).withColumn("last", F.last("node").over(both_ends)).filter("leader <> last")
-        led = led.groupBy("leader", "node", "n").agg(F.min("pos").alias("pos"))
-        tiles = tmp.table(led.join(firsts, "node").select("leader", "node", "n", "pos", "key", band), "tiles")
+        leader = F.first(F.struct("n", "node", "pos")).over(W.partitionBy("token").orderBy("n", "node"))
+        listed = rows.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("leader", leader).filter("leader.node <> node")
+        led = tmp.table(listed.groupBy("leader.node", "leader.n", "node", "n").agg(F.min("pos").alias("pos"), F.min("leader.pos").alias("lp")).toDF("leader", "ln", "node", "n", "pos", "lp"), "led")
+        own = led.groupBy("leader", "ln").agg(F.min("lp").alias("pos")).select("leader", F.col("leader").alias("node"), F.col("ln").alias("n"), "pos")
+        led = led.select("leader", "node", "n", "pos").union(own)
+        tiles = tmp.table(led.join(firsts.distinct(), "node").select("leader", "node", "n", "pos", "key", band), "tiles")
         signed = tmp.table(rows.filter("s0 is not null").join(tiles.select("node").distinct(), "node").groupBy("node").agg(*(F.first(s).alias(s) for s in SIGNATURE)), "signatures")
         sides = [signed.select(F.col("node").alias(c), *(F.col(s).alias(c + s) for s in SIGNATURE)) for c in "ab"]
         alike = may_link(*([F.col(c + s) for s in SIGNATURE] for c in "ab"), F.col("na"), F.col("nb"), percent)
@@ -122,8 +124,7 @@ def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int
             late = late.union(matched(rest))
 
         late = late.withColumn("late", F.lit(True))
-        judged = rows.select("doc_id", "h", "line_no", "node", F.col("n").cast("long").alias("n_shingles")).join(firsts.select("node", F.col("key").alias("first")).join(late, "node", "left"), "node")
-        out = judged.filter(F.col("late").isNotNull() | ~key.eqNullSafe(F.col("first"))).select("doc_id", "h", "line_no", "n_shingles")
+        out = judged.join(late, "node", "left").filter("late is not null or not first").select("doc_id", "h", "line_no", "n_shingles")
         return tmp.keep(out)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graphtables.llm.common import Scratch, hash_words, joined, mix64, slices
 
-COUNTER_BITS = 20
+COUNTER_BITS = 17
 SLOTS = 1 << 25
 ROWS = 1 << 19
 PIECE = 2 << 20
