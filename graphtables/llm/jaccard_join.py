@@ -78,7 +78,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
     texts = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[id_col].cast("long"), df[text_col].cast("string")).alias("h"), df[text_col].cast("string").cast("binary").alias("text"))
     similar = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     with Scratch(spark) as tmp:
-        steps = word_rarity(texts)
+        steps = word_rarity(texts, 20)
         rows = tmp.table(classes(texts, steps, width, percent), "classes")
         signed = tmp.table(rows.filter("s0 is not null").groupBy("node").agg(F.first("h").alias("h"), *(F.first(s).alias(s) for s in SIGNATURE)), "signatures")
         band = F.floor(F.ln(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band")
