@@ -75,6 +75,7 @@ CASES: dict[str, Case] = {
     "expand_multi_hop": Case("MATCH (g:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN g.name AS region, count(*) AS n_orders", "SELECT g.name AS region, count(*) AS n_orders FROM n_region g JOIN r_in_region a ON a.dst = g.id JOIN r_in_nation b ON b.dst = a.src JOIN n_customer c ON c.id = b.src JOIN r_placed p ON p.src = c.id GROUP BY 1"),
     "expand_multi_type": Case("MATCH (o:Order)-[r:CONTAINS|SUPPLIED_BY]->(x) WHERE o.totalprice > 450000 RETURN o.key AS key, type(r) AS kind, count(*) AS c", "SELECT o.key, r.type AS kind, count(*) AS c FROM n_order o JOIN r_all r ON r.src = o.id WHERE o.totalprice > 450000 AND r.type IN ('CONTAINS', 'SUPPLIED_BY') GROUP BY 1, 2"),
     "expand_any_type": Case("MATCH (c:Customer {key: 7})-[r]->(x) RETURN id(r) AS rel, id(x) AS other", "SELECT r.id AS rel, r.dst AS other FROM r_all r WHERE r.src = 3000000000007"),
+    "expand_any_type_all": Case("MATCH (c:Customer)-[r]->(x) RETURN id(r) AS rel, id(x) AS other", "SELECT r.id AS rel, r.dst AS other FROM n_customer c JOIN r_all r ON r.src = c.id"),
     "type_fn": Case("MATCH ()-[r]->() RETURN type(r) AS kind, count(*) AS c", "SELECT type AS kind, count(*) AS c FROM r_all GROUP BY 1"),
     "rel_property_filter": Case("MATCH (o:Order)-[l:CONTAINS]->(p:Part) WHERE l.quantity >= 45 AND l.returnflag = 'R' RETURN o.key AS key, p.name AS part, l.quantity AS quantity", "SELECT o.key, p.name AS part, l.quantity FROM n_order o JOIN r_contains l ON l.src = o.id JOIN n_part p ON p.id = l.dst WHERE l.quantity >= 45 AND l.returnflag = 'R'"),
     "inline_map_node": Case("MATCH (c:Customer {mktsegment: 'BUILDING'}) RETURN c.key AS key", "SELECT key FROM n_customer WHERE mktsegment = 'BUILDING'"),
@@ -112,6 +113,7 @@ CASES: dict[str, Case] = {
     "min_max": Case("MATCH (s:Supplier) RETURN min(s.acctbal) AS least, max(s.acctbal) AS most, min(s.name) AS first_, max(s.key) AS last_", "SELECT min(acctbal) AS least, max(acctbal) AS most, min(name) AS first_, max(key) AS last_ FROM n_supplier"),
     "collect": Case("MATCH (n:Nation)-[:IN_REGION]->(g:Region) RETURN g.name AS region, collect(n.name) AS nations", "SELECT g.name AS region, list(n.name) AS nations FROM n_nation n JOIN r_in_region r ON r.src = n.id JOIN n_region g ON g.id = r.dst GROUP BY 1"),
     "collect_skips_null": Case("MATCH (d:Document) WHERE d.key < 50 RETURN d.lang AS lang, collect(d.quality) AS marks, collect(DISTINCT d.quality) AS kinds", "SELECT lang, list(quality) FILTER (quality IS NOT NULL) AS marks, list(DISTINCT quality) FILTER (quality IS NOT NULL) AS kinds FROM n_document WHERE key < 50 GROUP BY 1"),
+    "collect_skips_null_all": Case("MATCH (d:Document) RETURN d.lang AS lang, collect(d.quality) AS marks, collect(DISTINCT d.quality) AS kinds", "SELECT lang, list(quality) FILTER (quality IS NOT NULL) AS marks, list(DISTINCT quality) FILTER (quality IS NOT NULL) AS kinds FROM n_document GROUP BY 1"),
     "group_by_implicit": Case("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN count(*) AS c, n.name AS nation, c.mktsegment AS segment, min(c.acctbal) AS least", "SELECT count(*) AS c, n.name AS nation, c.mktsegment AS segment, min(c.acctbal) AS least FROM n_customer c JOIN r_in_nation r ON r.src = c.id JOIN n_nation n ON n.id = r.dst GROUP BY 2, 3"),
     "agg_distinct_rows": Case("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN DISTINCT count(*) AS c, n.key % 3 AS k", "SELECT count(*) AS c, n.key % 3 AS k FROM n_customer c JOIN r_in_nation r ON r.src = c.id JOIN n_nation n ON n.id = r.dst GROUP BY 2"),
     "order_by_aggregate": Case("MATCH (c:Customer)-[:PLACED]->(o) RETURN c.key AS key, count(*) AS c ORDER BY count(*) DESC, c.key LIMIT 15", "SELECT c.key, count(*) AS c FROM n_customer c JOIN r_placed r ON r.src = c.id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"),

@@ -48,6 +48,13 @@ def test_sql(graph, duck, name):
     assert sorted((tuple(plain(r[c]) for c in order) for r in got), key=str) == sorted((tuple(plain(r[columns.index(c)]) for c in order) for r in rows), key=str)
 
 
+def test_whole_tables(graph, duck):
+    edges = duck.sql("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM customer))").fetchall()[0][0]
+    assert CASES["expand_any_type_all"].run(graph).count() == edges
+    marked = duck.sql("SELECT count(quality) FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id").fetchall()[0][0]
+    assert sum(len(r.marks) for r in CASES["collect_skips_null_all"].run(graph).collect()) == marked > 50
+
+
 def test_flagship(graph):
     rows = FLAGSHIP.run(graph).collect()
     assert len(rows) == 10 and [r.price for r in rows] == sorted((r.price for r in rows), reverse=True)
