@@ -98,6 +98,8 @@ CASES: dict[str, Case] = {
     "distinct": Case("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN DISTINCT n.name AS nation, c.mktsegment AS segment", "SELECT DISTINCT n.name AS nation, c.mktsegment AS segment FROM n_customer c JOIN r_in_nation r ON r.src = c.id JOIN n_nation n ON n.id = r.dst"),
     "order_nulls_asc": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality, key LIMIT 700", "SELECT key, quality FROM n_document ORDER BY quality ASC NULLS LAST, key LIMIT 700"),
     "order_nulls_desc": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality DESC, key LIMIT 50", "SELECT key, quality FROM n_document ORDER BY quality DESC NULLS FIRST, key LIMIT 50"),
+    "order_nulls_asc_all": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality, key", "SELECT key, quality FROM n_document ORDER BY quality ASC NULLS LAST, key"),
+    "order_nulls_desc_all": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality DESC, key", "SELECT key, quality FROM n_document ORDER BY quality DESC NULLS FIRST, key"),
     "order_hidden_key": Case("MATCH (c:Customer) RETURN c.name AS name ORDER BY c.acctbal DESC, c.key LIMIT 10", "SELECT name FROM n_customer ORDER BY acctbal DESC, key LIMIT 10"),
     "skip_limit_params": Case("MATCH (n:Nation) RETURN n.name AS name ORDER BY name SKIP $skip LIMIT $limit", "SELECT name FROM n_nation ORDER BY name LIMIT 6 OFFSET 4", {"skip": 4, "limit": 6}),
     "topk": Case("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.name AS name, o.totalprice AS price, o.key AS key ORDER BY price DESC, key LIMIT 20", "SELECT c.name, o.totalprice AS price, o.key FROM n_customer c JOIN r_placed r ON r.src = c.id JOIN n_order o ON o.id = r.dst ORDER BY price DESC, o.key LIMIT 20"),

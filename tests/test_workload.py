@@ -55,6 +55,14 @@ def test_whole_tables(graph, duck):
     assert sum(len(r.marks) for r in CASES["collect_skips_null_all"].run(graph).collect()) == marked > 50
 
 
+@pytest.mark.parametrize("name", ["order_nulls_asc_all", "order_nulls_desc_all"])
+def test_order_of_whole_table(graph, duck, name):
+    """Row by row: without a limit, only the sequence shows where nulls go."""
+    got = [(r.key, r.quality) for r in CASES[name].run(graph).collect()]
+    assert got == duck.sql(ORACLE_SQL[name]).fetchall()
+    assert {q for _, q in got} == {0, 1, None}
+
+
 def test_flagship(graph):
     rows = FLAGSHIP.run(graph).collect()
     assert len(rows) == 10 and [r.price for r in rows] == sorted((r.price for r in rows), reverse=True)
