@@ -143,6 +143,25 @@ def test_urls(spark):
     assert url_filter.judge(spark, df.limit(0)).count() == 0
 
 
+def test_url_models_are_whole(spark):
+    """Words and tokens beyond those that are broadcast count alike: no result depends on how many are."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(3, 7))) for _ in range(120)]
+    rows = []
+    for k in range(300):
+        a, b, c = (names[min(int(rng.expovariate(0.04)), 119)] for _ in range(3))
+        rows.append((k, f"http://{a}{b}{rng.choice(['', '', 'casino'])}.info/{c}{a}/{k}", f"<p>{a} {b}</p> {c} " + names[k % 120]))
+    df = spark.createDataFrame([*rows, (None, None, None), (7, "http://ÄB.org/straße", "")], "page_id long, url string, html string").repartition(3)
+
+    def judged(**most):
+        return sorted(((r.page_id or -1, r.host, r.path, r.rule, r.verdict, round(r.score, 9), r.words) for r in url_filter.judge(spark, df, **most).collect()), key=str)
+
+    whole = judged()
+    assert len(whole) == 302 and {x[4] for x in whole} == {"allow", "block"}
+    for most in (0, 40):
+        assert judged(most=most) == whole
+
+
 def test_segmenter_is_the_best_path():
     counts = {"a": 5, "ab": 3, "b": 2, "aba": 4, "ba": 1}
     s = url_filter.Segmenter(counts)
