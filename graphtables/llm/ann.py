@@ -12,7 +12,9 @@ makes all of them as long as the longest, and queries get a zero there.
   replicates nothing where vectors have no clusters).
 * Queries find centroids by best-first search in a graph of near centroids that each
   task holds in memory; lists whose centroid is more than ``ratio`` times as far as the
-  nearest are pruned, as soon as the lists taken hold enough vectors.  The ratio is
+  nearest are pruned, as soon as the lists taken hold enough vectors.  The search ends
+  at a number of lists that is enough for nearly all queries; the others are compared
+  with all centroids, so no list within the ratio is left out for that number.  The ratio is
   measured: the one at which ``RECALL`` of the true neighbours of ``TRIALS`` sampled
   vectors within the sample are found.  They are farther than those within all vectors,
   so the measure is on the safe side.
@@ -183,6 +185,13 @@ class CentroidGraph:
         order = np.argsort(dist, axis=1)[:, :most]
         return np.take_along_axis(ids, order, 1), np.maximum(np.take_along_axis(dist, order, 1) + own[:, None], 0)
 
+    def all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids for each row of x, and their squared distances, nearest first."""
+        x = x.astype(np.float32)
+        dist = self.norms[None, :] - 2 * x @ self.centroids.T
+        order = np.argsort(dist, axis=1)
+        return order, np.maximum(np.take_along_axis(dist, order, 1) + (x * x).sum(1)[:, None], 0)
+
 
 def posting_lists(graph: CentroidGraph, x: np.ndarray, replicas: int, slack: float) -> list[list[int]]:
     """The lists of each row: its nearest centroid's, and those of others within ``1 + slack`` times that distance that point another way."""
@@ -250,7 +259,7 @@ def build(tmp: Scratch, df: DataFrame, ids: int, replicas: int = 2, slack: float
 
 
 def measured(graph: CentroidGraph, points: np.ndarray, longest: float, k: int, replicas: int, slack: float) -> tuple[float, int]:
-    """The distance ratio that reaches RECALL on the sample, and how many lists that is for nearly all queries."""
+    """The distance ratio that reaches RECALL on the sample, and how many lists that is for nearly all queries, which a first search is for."""
     trials = points[:TRIALS]
     near = np.argpartition(-(trials @ points.T), min(k + 1, len(points)) - 1, axis=1)[:, : k + 1]
     lists = posting_lists(graph, lengthened(points[near.reshape(-1)], longest), replicas, slack)
@@ -326,6 +335,14 @@ def search(tmp: Scratch, index: Index, queries: DataFrame, k: int, enough: int =
     shared = tmp.spark.sparkContext.broadcast((index.graph, counts, groups))
     ratio, most = index.ratio, max(index.lists, 16)
 
+    def wanted(ids: np.ndarray, dist: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the lists found are searched, and which rows may want more than those."""
+        held = np.where(ids >= 0, counts[ids], 0)
+        upto = np.cumsum(held, 1)
+        near = np.sqrt(dist) <= ratio * np.sqrt(dist[:, :1]) + 1e-9
+        short = (ids[:, -1] < 0) | near[:, -1] | (upto[:, -1] < enough * (k + 1))
+        return (ids >= 0) & (held > 0) & (near | (upto - held < enough * (k + 1))), short
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, counts, groups = shared.value
         for b in batches:
@@ -334,11 +351,16 @@ def search(tmp: Scratch, index: Index, queries: DataFrame, k: int, enough: int =
                 x = _matrix(part.column(0).to_pylist())
                 x = np.hstack([x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros((len(x), 1))])
                 ids, dist = graph.search(x, min(len(counts), most), beam=64)
-                held = np.where(ids >= 0, counts[ids], 0)
-                before = np.cumsum(held, 1) - held
-                near = np.sqrt(dist) <= ratio * np.sqrt(dist[:, :1]) + 1e-9
-                row, col = np.nonzero((ids >= 0) & (held > 0) & (near | (before < enough * (k + 1))))
-                lists = ids[row, col]
+                take, short = wanted(ids, dist, counts)
+                if ids.shape[1] < len(counts) and short.any():
+                    take[short] = False
+                    row, col = np.nonzero(take)
+                    more, dist = graph.all(x[short])
+                    again, at = np.nonzero(wanted(more, dist, counts)[0])
+                    row, lists = np.append(row, np.flatnonzero(short)[again]), np.append(ids[row, col], more[again, at])
+                else:
+                    row, col = np.nonzero(take)
+                    lists = ids[row, col]
                 order = np.lexsort((lists, row))
                 row, lists = row[order], lists[order]
                 group = groups[lists]

@@ -84,6 +84,15 @@ def test_lists_in_parts(spark, monkeypatch):
     assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in g] for q, g in wanted.items()}
 
 
+def test_no_list_within_the_ratio_is_left_out(spark, monkeypatch):
+    """With a ratio that takes in all lists the search is exact, however few lists are expected."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8000, 16))
+    rows = [(i, v) for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).tolist())]
+    monkeypatch.setattr(ann, "measured", lambda *_: (100.0, 1))
+    assert {q: [i for i, _ in g] for q, g in found(spark, rows).items()} == {q: [i for i, _ in g] for q, g in brute(rows).items()}
+
+
 def test_graph_search():
     rng = np.random.default_rng(5)
     graph = ann.CentroidGraph(rng.normal(size=(500, 16)))
