@@ -282,11 +282,22 @@ def packed(sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_of_all(x: np.ndarray, y: np.ndarray, first: np.ndarray, ids: list[list[int]], k: int) -> tuple[list[float], list[int]]:
+    """As ``best_of_group``, for one query among all of ``y``, by exact scores alone."""
+    exact = (x * y).sum(-1)
+    m = min(2 * k, len(exact))  # a vector may be in two lists
+    at = np.flatnonzero(exact >= np.partition(exact, -m)[-m])
+    at = at[np.lexsort((first[at], -exact[at]))[:m]]
+    best = sorted({(-s, i) for s, t in zip(exact[at].tolist(), at.tolist()) for i in ids[t]})[:k]
+    return [-s for s, _ in best], [i for _, i in best]
+
+
 def best_of_group(x: np.ndarray, wanted: list[list[int]], y: np.ndarray, owner: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[list[float], list[int]]]:
     """The k best (scores, ids) for each query among the vectors of the lists it wants, best first, ties to the smaller id.
 
     Candidates come from a matrix product for each list; their order is settled by
-    scores that are summed alike wherever a pair is met.
+    scores that are summed alike wherever a pair is met.  Where a candidate that was cut
+    may equal the k-th, within rounding, the query is settled among all vectors instead.
     """
     lists = np.unique(owner)
     spare = 8
@@ -294,6 +305,9 @@ def best_of_group(x: np.ndarray, wanted: list[list[int]], y: np.ndarray, owner:
     scores = np.full((len(x), len(lists) * (k + spare)), -np.inf)
     which = np.zeros(scores.shape, np.int64)
     lens = [len(w) for w in wanted]
+    # Twice what a product and the exact score of a pair may differ by, with a margin.
+    rounding = 16 * x.shape[1] * np.finfo(float).eps * np.sqrt((x * x).sum(1) * (y * y).sum(1).max())
+    tied = np.zeros(len(x), bool)
     query, asked = np.repeat(np.arange(len(x)), lens), np.concatenate([np.asarray(w, np.int64) for w in wanted])
     for j, c in enumerate(lists.tolist()):
         rows, at = query[asked == c], np.flatnonzero(owner == c)
@@ -303,10 +317,16 @@ def best_of_group(x: np.ndarray, wanted: list[list[int]], y: np.ndarray, owner:
         m = min(k + spare, len(at))
         top = np.argpartition(-rough, m - 1, axis=1)[:, :m] if m < len(at) else np.tile(np.arange(m), (len(rows), 1))
         to = slice(j * (k + spare), j * (k + spare) + m)
-        scores[rows, to] = np.take_along_axis(rough, top, 1)
+        scores[rows, to] = best = np.take_along_axis(rough, top, 1)
+        if m < len(at):
+            tied[rows] |= best.min(1) >= np.partition(best, m - k, axis=1)[:, m - k] - rounding[rows]
         which[rows, to] = at[top]
     m = min(some, scores.shape[1])
     top = np.argpartition(-scores, m - 1, axis=1)[:, :m]
+    if m < scores.shape[1]:
+        best = np.take_along_axis(scores, top, 1)
+        least = best.min(1)
+        tied |= np.isfinite(least) & (least >= np.partition(best, m - 2 * k, axis=1)[:, m - 2 * k] - rounding)
     found = np.isfinite(np.take_along_axis(scores, top, 1))
     which = np.take_along_axis(which, top, 1)
     exact = np.where(found, (x[:, None, :] * y[which]).sum(-1), -np.inf)
@@ -323,6 +343,9 @@ def best_of_group(x: np.ndarray, wanted: list[list[int]], y: np.ndarray, owner:
         else:
             best = sorted({(-s, i) for s, t in zip(e[o].tolist(), w[o].tolist()) for i in ids[t]})[:k]
             out.append(([-s for s, _ in best], [i for _, i in best]))
+    for q in np.flatnonzero(tied).tolist():
+        at = np.flatnonzero(np.isin(owner, wanted[q]))
+        out[q] = best_of_all(x[q], y[at], first[at], [ids[t] for t in at.tolist()], k)
     return out
 
 

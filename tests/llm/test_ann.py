@@ -93,6 +93,24 @@ def test_no_list_within_the_ratio_is_left_out(spark, monkeypatch):
     assert {q: [i for i, _ in g] for q, g in found(spark, rows).items()} == {q: [i for i, _ in g] for q, g in brute(rows).items()}
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_ties_go_to_the_smaller_id(copies):
+    """More vectors share the score at the cut than candidates are taken; some are in two lists."""
+    rng = np.random.default_rng(7)
+    y = np.unique(rng.integers(0, 2, size=(3000, 14)), axis=0).astype(float)
+    y = rng.permutation(y[y.any(1)])
+    ids = [sorted(i) for i in rng.permutation(len(y) * copies).reshape(-1, copies).tolist()]
+    owner = rng.integers(0, 4, len(y))
+    twice = rng.choice(len(y), 300, replace=False)
+    y, owner, ids = np.vstack([y, y[twice]]), np.append(owner, (owner[twice] + 1) % 4), ids + [ids[t] for t in twice.tolist()]
+    x = y[:40]
+    wanted = [[0, 1, 2, 3] if q % 2 else [1, 2] for q in range(40)]
+    for q, (scores, got) in enumerate(ann.best_of_group(x, wanted, y, owner, ids, 21)):
+        at = np.flatnonzero(np.isin(owner, wanted[q])).tolist()
+        best = sorted({(-float(x[q] @ y[t]), i) for t in at for i in ids[t]})[:21]
+        assert list(zip(scores, got)) == [(-s, i) for s, i in best]
+
+
 def test_graph_search():
     rng = np.random.default_rng(5)
     graph = ann.CentroidGraph(rng.normal(size=(500, 16)))
