@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,9 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where the session names none."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where the session names none, a local one is made if driver and executors are one
+    process (master ``local[...]``); on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="llm-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -33,29 +40,43 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows here are whole documents: unless the session says otherwise, Arrow batches get a thousand of them, not ten thousand."""
+    """Rows here are whole documents: unless the session says otherwise, Arrow batches get a thousand of them, not ten thousand.
+
+    The setting stays, for results that are computed after the operator has returned.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, "1000")
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written below the shared checkpoint folder while an operator runs.
 
-    ``table`` cuts the lineage: what is read back survives a lost executor.  The
-    tables go when the block ends, so results that outlive it go through ``keep``,
-    whose files Spark removes with the last DataFrame that uses them.
+    ``table`` cuts the lineage: what is read back survives a lost executor, and the
+    shuffle files behind it go at once, so disk holds one step's shuffles at a time.
+    ``free`` removes a table that nothing reads any more; all go when the block ends, so
+    results that outlive it go through ``keep``.  Their files go with the last DataFrame
+    that uses them where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set,
+    and with the checkpoint folder otherwise.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         small_batches(spark)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+        self.clean_up = None
+        self.paths: dict[int, str] = {}
 
     def __enter__(self) -> Scratch:
+        self.clean_up = self.spark.conf.get(_CLEAN_UP)
+        self.spark.conf.set(_CLEAN_UP, "true")
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(_CLEAN_UP, self.clean_up)
         self.drop(self.root)
 
     def drop(self, path: str) -> None:
@@ -66,7 +87,14 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        """Remove ``tables``, as ``table`` returned them; nothing that is still to be computed may read them."""
+        for t in tables:
+            self.drop(self.paths.pop(id(t)))
 
     def keep(self, df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
@@ -137,50 +165,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256)
-_LOWER[0x41:0x5B] += 0x20
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
-_BASE = 0xD1342543DE82EF95
-_powers = np.ones((2, 1), np.uint64)
-
-
-def _power_table(n: int) -> np.ndarray:
-    """Powers of the base and of its inverse modulo 2**64."""
-    global _powers
-    if _powers.shape[1] < n:
-        n = 1 << (n - 1).bit_length()
-        steps = np.full((2, n), _BASE, np.uint64)
-        steps[1] = pow(_BASE, -1, 1 << 64)
-        steps[:, 0] = 1
-        _powers = np.multiply.accumulate(steps, axis=1, dtype=np.uint64)
-    return _powers
+#: Masks that keep the first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def hash_words(text: np.ndarray, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of UTF-8 bytes, A-Z lower-cased, and where each word begins.
 
-    Words are what ASCII white space parts.  A word's hash is a polynomial in a fixed base
-    over values of its bytes, so those of all words follow from one running sum; the sum
-    is taken over segments of whole words, so memory is bounded whatever the length.
+    Words are what ASCII white space parts.  A word is cut into chunks of eight bytes; its
+    hash mixes its length with the sum of what each chunk and its place give, so the work
+    is by words and not by bytes, and memory is in proportion to the text.
     """
-    inside = ~_SPACE[text]
-    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        a = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, a + segment, "right")))
-        b = ends[j - 1]
-        up, down = _power_table(int(b - a))
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[text[a:b]] * up[: b - a], out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        i = j
-    return out, starts
+    n = len(text)
+    low = text.tobytes().lower() + bytes(8)
+    raw = np.frombuffer(low, np.uint8, n)
+    inside = (raw != 0x20) & (raw - np.uint8(9) > 4)
+    turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, lens = turns[::2], turns[1::2] - turns[::2]
+    loads = np.ndarray((n + 1,), "<u8", low, 0, (1,))
+    sums = mix64(loads[starts] & _FIRST[np.minimum(lens, 8)])
+    long = np.flatnonzero(lens > 8)
+    if len(long):
+        more = (lens[long] - 1) // 8  # chunks beside the first
+        begin = np.cumsum(more) - more
+        k = np.arange(more.sum()) - np.repeat(begin, more) + 1
+        rest = np.repeat(lens[long], more) - 8 * k
+        chunks = loads[np.repeat(starts[long], more) + 8 * k] & _FIRST[np.minimum(rest, 8)]
+        sums[long] += np.add.reduceat(mix64(chunks + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin)
+    return mix64(sums + lens.astype(np.uint64)), starts
 
 
 def joined(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -31,15 +31,17 @@ def _mark(edges: DataFrame) -> tuple:
 def components(tmp: Scratch, edges: DataFrame) -> DataFrame:
     """``edges`` (u, v) as (node, comp): each node of an edge with the least node that it reaches.
 
-    Rounds are logarithmic in the number of nodes, each one is written out, and only a
-    count and a sum of hashes come to the driver.
+    Rounds are logarithmic in the number of nodes, each one is written out in place of
+    the one before, and only a count and a sum of hashes come to the driver.
     """
     old = tmp.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(old)
     while mark[0]:
         new = tmp.table(_stars(_stars(old, True), False), "edges")
         now = _mark(new)
+        tmp.free(old)
+        old = new
         if now == mark:
             break
-        old, mark = new, now
+        mark = now
     return old.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(old.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

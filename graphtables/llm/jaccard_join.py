@@ -4,19 +4,23 @@ Two documents link when ``100 * intersection >= percent * union``.  Texts with t
 set form a class first, so copies never meet each other.  Each class has a prefix of
 its set under one global order (the rarest shingles first), long enough that two
 classes that link share a shingle of their prefixes.  All classes with one prefix
-shingle in common have a leader, the smallest of them.  A *tile* holds the classes that
-have one leader, in bands of size; only equal and neighbouring bands can link.  Two
+shingle in common have a leader, the one of the least hash.  A *tile* holds the classes
+that have one leader, in bands of size; only equal and neighbouring bands can link.  Two
 classes that share a shingle share its leader, so they meet in a tile, and near copies
-that share very many shingles still meet in few.
-
-Round 1 ties each class to at most two of its leaders and to one class of each of the
-TIES places before it in its tiles.  Large groups of near copies merge here with a few
-links for each class.
-Round 2 takes all pairs of a tile whose classes are still in different components.
+that share very many shingles still meet in few.  Tiles are split into blocks of about
+TILE classes, and block meets block, so no task holds a whole large tile.
+
+Round 1 ties each class to at most two of its leaders and to the TIES classes before it
+in its blocks.  Large groups of near copies merge here with a few links for each class.
+Round 2 meets, in tiles that still hold several components, the classes outside a
+tile's largest component with all others of another component.  The likeliest partner
+of each class is verified first; then those pairs that are still in different
+components.
 In either round a pair must first pass its signatures: the parity bitmap of a set has a
 bit for each of 1536 hash values, and ``popcount(a xor b)`` is at most the size of the
-symmetric difference, which bounds the overlap from above.  What is left is verified by
-intersecting the sets themselves, which are made again for the texts that need it.  So
+symmetric difference, which bounds the overlap from above.  Such bitmaps fill up with
+some thousands of shingles, so large sets have one in proportion to their size too,
+which pairs must pass as well.  What is left is verified by intersecting the sets themselves, which are made again for the texts that need it.  So
 no link between different components is missed, and pairs within a component are not
 enumerated.
 
@@ -35,7 +39,7 @@ from pyspark.sql import Window as W
 
 from graphtables.llm.common import Scratch, slices, table
 from graphtables.llm.components import components
-from graphtables.llm.shingle_sets import PIECE, least_overlap, may_link, pieces_of, sets_of_nodes, shingles_sql, signatures, verified, whole_texts, word_rarity
+from graphtables.llm.shingle_sets import PIECE, all_blocks, apart, block, blocks_of, long_may_link, long_signatures, may_link, pieces_of, sets_of_nodes, shingles_sql, signatures, signed_classes, tiles_of, verified, whole_texts, word_rarity
 
 WORDS = 24
 TIES = 4
@@ -58,13 +62,13 @@ def classes(texts: DataFrame, steps: np.ndarray, width: int, percent: int) -> Da
                         seen.add(node)
                         new.append(i)
                 at, n = np.array(new, np.int64), sets.sizes
-                index = np.full(len(n), -1)
-                index[at] = np.arange(len(at))
-                prefix = sets.lists(at, n[at] - least_overlap(n[at], percent) + 1).take(pa.array(index, mask=index < 0))
+                old = np.ones(len(n), bool)
+                old[at] = False
+                prefix = sets.prefixes(at, percent)
                 sig = signatures(sets, WORDS)
-                yield pa.record_batch([piece.column("doc_id")[at_rows], piece.column("h")[at_rows], pa.array(sets.nodes), pa.array(n), prefix, *(pa.array(sig[:, k], mask=index < 0) for k in range(WORDS))], ["doc_id", "h", "node", "n", "prefix", *SIGNATURE])
+                yield pa.record_batch([piece.column("doc_id")[at_rows], piece.column("h")[at_rows], pa.array(sets.nodes), pa.array(n), prefix, long_signatures(sets, at), *(pa.array(sig[:, k], mask=old) for k in range(WORDS))], ["doc_id", "h", "node", "n", "prefix", "long", *SIGNATURE])
 
-    return texts.mapInArrow(run, "doc_id long, h long, node long, n long, prefix array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE))
+    return texts.mapInArrow(run, "doc_id long, h long, node long, n long, prefix binary, long array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,53 +81,73 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
     """
     texts = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(df[id_col].cast("long"), df[text_col].cast("string")).alias("h"), df[text_col].cast("string").cast("binary").alias("text"))
     similar = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    band = F.floor(F.ln(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band")
     with Scratch(spark) as tmp:
         steps = word_rarity(texts, 20)
         rows = tmp.table(classes(texts, steps, width, percent), "classes")
-        signed = tmp.table(rows.filter("s0 is not null").groupBy("node").agg(F.first("h").alias("h"), *(F.first(s).alias(s) for s in SIGNATURE)), "signatures")
-        band = F.floor(F.ln(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band")
-
-        # Tiles: classes that share a prefix shingle with a smaller one, by the smallest that shares it.
-        by_token = W.partitionBy("token").orderBy("n", "node")
-        leader = F.first(F.struct("n", "node")).over(by_token)
-        listed = rows.select("node", "n", F.explode("prefix").alias("token")).withColumn("leader", leader)
-        led = tmp.table(listed.filter("leader.node <> node").select("leader", "node", "n").distinct(), "led")
-        tiles = tmp.table(led.union(led.select("leader", F.col("leader.node").alias("node"), F.col("leader.n").alias("n")).distinct()), "tiles")
+        tiles = tiles_of(tmp, rows).select("leader", "node", "n")
+        signed = signed_classes(tmp, rows, tiles, SIGNATURE)
+        sizes = tmp.table(blocks_of(tiles), "sizes")
+        sides = [signed.select(F.col("node").alias(c), *(F.col(s).alias(c + s) for s in SIGNATURE)) for c in "ab"]
+        bits = [[F.col(c + s) for s in SIGNATURE] for c in "ab"]
+        longs = [rows.filter("long is not null").select(F.col("node").alias(c), F.col("long").alias("l" + c)).dropDuplicates([c]) for c in "ab"]
 
         def hopeful(pairs: DataFrame) -> DataFrame:
-            """Those of ``pairs`` (a, na, b, nb) whose signatures allow a link."""
-            sides = [signed.select(F.col("node").alias(c), *(F.col(s).alias(c + s) for s in SIGNATURE)) for c in "ab"]
-            both = pairs.join(sides[0], "a").join(sides[1], "b")
-            return both.filter(may_link(*([F.col(c + s) for s in SIGNATURE] for c in "ab"), F.col("na"), F.col("nb"), percent)).select("a", "na", "b", "nb")
+            """Those of ``pairs`` whose long signatures allow a link; all where one has none."""
+            both = pairs.join(longs[0], "a", "left").join(longs[1], "b", "left")
+            return both.filter(long_may_link(F.col("la"), F.col("lb"), F.col("na"), F.col("nb"), percent)).select(pairs.columns)
 
-        def links_of(pairs: DataFrame) -> DataFrame:
+        def sets_for(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            sets = sets_of_nodes(tmp, texts, signed.select("node", "h").join(nodes, "node"), whole_texts, steps, width)
+            return sets_of_nodes(tmp, texts, signed.select("node", "h").join(nodes, "node"), whole_texts, steps, width)
+
+        def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             return tmp.table(verified(pairs, sets, percent).toDF("u", "v"), "links")
 
-        place = W.partitionBy("leader").orderBy("n", "node")
+        # Round 1.
+        place = W.partitionBy("leader", "block").orderBy("n", "node")
         lags = [f"before{k}" for k in range(1, TIES + 1)]
-        ties = tiles.select("leader", "node", "n", *(F.lag(F.struct("n", "node"), k).over(place).alias(b) for k, b in enumerate(lags, 1)))
-        ties = ties.filter("before1 is not null").groupBy("node", "n").agg(F.array(F.min("leader"), F.max("leader"), *(F.min(b) for b in lags)).alias("to"))
+        held = tiles.join(sizes, "leader").select("leader", "node", "n", block())
+        ties = held.select("leader", "node", "n", *(F.lag(F.struct("n", "node"), k).over(place).alias(b) for k, b in enumerate(lags, 1)))
+        led = tiles.filter("leader = node").select("leader", F.struct("n", "node").alias("lead"))
+        ties = ties.join(led, "leader").withColumn("lead", F.when(F.col("leader") != F.col("node"), F.col("lead")))
+        ties = ties.groupBy("node", "n").agg(F.array(F.min("lead"), F.max("lead"), *(F.min(b) for b in lags)).alias("to"))
         pairs = ties.select("node", "n", F.explode(F.array_distinct(F.array_compact("to"))).alias("to")).select(F.col("to.node").alias("a"), F.col("to.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).filter(similar)
+        pairs = pairs.join(sides[0], "a").join(sides[1], "b").filter(may_link(*bits, F.col("na"), F.col("nb"), percent)).select("a", "na", "b", "nb")
         pairs = tmp.table(hopeful(pairs), "pairs")
-        links = links_of(pairs)
+        sets, used = sets_for(pairs)
+        links = links_of(pairs, sets)
+        tmp.free(*used)
         comp = tmp.table(components(tmp, links), "components")
 
         # Round 2: tiles that still hold more than one component.
-        placed = tiles.join(comp, "node", "left").select(F.col("leader.node").alias("tile"), "node", "n", band, F.coalesce("comp", "node").alias("comp"))
-        mixed = placed.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("tile")
-        open_ = tmp.table(placed.join(mixed, "tile").join(signed.drop("h"), "node"), "open")
-        a = open_.select("tile", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *(F.col(s).alias(f"a{s}") for s in SIGNATURE))
-        b = open_.select("tile", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *(F.col(s).alias(f"b{s}") for s in SIGNATURE))
-        meet = (a["tile"] == b["tile"]) & (a["band"] == b["band"]) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & F.expr(similar) & (F.col("ca") != F.col("cb"))
-        meet = meet & may_link(*([F.col(c + s) for s in SIGNATURE] for c in "ab"), F.col("na"), F.col("nb"), percent)
-        rest = a.join(b, meet).select("a", "na", "b", "nb").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb")
-        rest = tmp.table(rest, "pairs")
+        placed = tiles.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        shares = placed.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("held"))
+        mixed = shares.groupBy("leader").agg(F.max(F.struct("held", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        mixed = mixed.join(sizes, "leader").select("leader", F.col("main.comp").alias("main"), "blocks")
+        open_ = tmp.table(placed.join(mixed, "leader").join(signed.drop("h"), "node").withColumn("band", band), "open")
+        a = open_.filter("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+        a = a.select("leader", "band", all_blocks(), "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *(F.col(s).alias(f"a{s}") for s in SIGNATURE))
+        b = open_.select("leader", "band", block(), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *(F.col(s).alias(f"b{s}") for s in SIGNATURE))
+        # Of two classes outside the main component, the smaller hash is a.
+        meet = (a["leader"] == b["leader"]) & (a["band"] == b["band"]) & (a["block"] == b["block"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+        meet = meet & F.expr(similar) & may_link(*bits, F.col("na"), F.col("nb"), percent)
+        rest = a.join(b, meet).select("a", "na", "ca", "b", "nb", "cb", apart(*bits).alias("apart")).distinct()
+        tried = pairs.select("a", "b").union(pairs.select("b", "a"))
+        rest = tmp.table(hopeful(rest.join(tried, ["a", "b"], "left_anti").select(rest.columns)), "rest")
+        tmp.free(open_)
         if not rest.isEmpty():
-            more = links_of(rest)
-            if not more.isEmpty():
-                comp = tmp.table(components(tmp, links.union(more)), "components")
+            sets, used = sets_for(rest)
+            likely = rest.groupBy("a", "na").agg(F.min(F.struct((F.col("apart") / (F.col("na") + F.col("nb"))).alias("apart"), "b", "nb")).alias("to"))
+            likely = tmp.table(likely.select("a", "na", F.col("to.b").alias("b"), F.col("to.nb").alias("nb")), "likely")
+            links = links.union(links_of(likely, sets))
+            comp = tmp.table(components(tmp, links), "components")
+            now = [comp.select(F.col("node").alias(c), F.col("comp").alias("now" + c)) for c in "ab"]
+            open_pairs = rest.join(likely.select("a", "b"), ["a", "b"], "left_anti").join(now[0], "a", "left").join(now[1], "b", "left")
+            open_pairs = tmp.table(open_pairs.filter(F.coalesce("nowa", "ca") != F.coalesce("nowb", "cb")).select("a", "na", "b", "nb"), "pairs")
+            if not open_pairs.isEmpty():
+                comp = tmp.table(components(tmp, links.union(links_of(open_pairs, sets))), "components")
+            tmp.free(*used)
 
         # A class's component is named by the smallest id of its rows.
         full = rows.filter("n > 0")

@@ -8,16 +8,17 @@ stays or goes.  So the result depends on no order of execution.
 
 Lines of the same set form a class, which its earliest line stands for.  Classes that
 match share a shingle of their prefixes (prefix filter).  All classes with one prefix
-shingle in common have a leader, the smallest of them, and a *tile* holds the classes of
-one leader, each with the first place at which it has a shingle of this leader.  Two
-classes that match meet in the tile of their first common shingle, where no more can be
-in common than follows those places (positional filter), in bands of size that are equal
-or next to each other (length filter).  Parity bitmaps of the sets then bound the
-overlap from above, and what is left is verified on the sets.
+shingle in common have a leader, the one of the least hash, and a *tile* holds the
+classes of one leader, each with the first place at which it has a shingle of this
+leader.  Two classes that match meet in the tile of their first common shingle, where no
+more can be in common than follows those places (positional filter), if their sizes
+allow it (length filter).  Parity bitmaps of the sets then bound the overlap from above,
+and what is left is verified on the sets.  Tiles are split into blocks of about TILE
+classes, and block meets block, so no task holds a whole large tile.
 
 One earlier match is enough, so each class is first held against the earliest class of
-its tiles and some of those before it; only classes without a match then meet all
-earlier ones.  Shingles and classes are known by 64-bit hashes.
+its blocks and the TIES before it; only classes without a match then meet all earlier
+ones of their tiles.  Shingles and classes are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphtables.llm.common import Scratch, slices, table
-from graphtables.llm.shingle_sets import PIECE, least_overlap, lines, may_link, pieces_of, sets_of_nodes, shingles_sql, signatures, verified, word_rarity
+from graphtables.llm.shingle_sets import PIECE, all_blocks, block, blocks_of, lines, may_link, pieces_of, sets_of_nodes, shingles_sql, signatures, signed_classes, tiles_of, verified, word_rarity
 
 WORDS = 4
-TIES = 8
+TIES = 3
 SIGNATURE = [f"s{k}" for k in range(WORDS)]
 
 
@@ -55,14 +56,14 @@ def _line_classes(texts: DataFrame, steps: np.ndarray, width: int, percent: int)
                         seen.add(node)
                         new.append(i)
                 at, n = np.array(new, np.int64), sets.sizes
-                index = np.full(len(n), -1)
-                index[at] = np.arange(len(at))
-                prefix = sets.lists(at, n[at] - least_overlap(n[at], percent) + 1).take(pa.array(index, mask=index < 0))
+                old = np.ones(len(n), bool)
+                old[at] = False
+                prefix = sets.prefixes(at, percent)
                 sig = signatures(sets, WORDS)
                 own = pa.array(rows.text[at_rows])
-                yield pa.record_batch([piece.column("doc_id").take(own), piece.column("h").take(own), pa.array(rows.number[at_rows].astype(np.int32)), pa.array(sets.nodes), pa.array(n.astype(np.int32)), prefix, *(pa.array(sig[:, k], mask=index < 0) for k in range(WORDS))], ["doc_id", "h", "line_no", "node", "n", "prefix", *SIGNATURE])
+                yield pa.record_batch([piece.column("doc_id").take(own), piece.column("h").take(own), pa.array(rows.number[at_rows].astype(np.int32)), pa.array(sets.nodes), pa.array(n.astype(np.int32)), prefix, *(pa.array(sig[:, k], mask=old) for k in range(WORDS))], ["doc_id", "h", "line_no", "node", "n", "prefix", *SIGNATURE])
 
-    return texts.mapInArrow(run, "doc_id long, h long, line_no int, node long, n int, prefix array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE))
+    return texts.mapInArrow(run, "doc_id long, h long, line_no int, node long, n int, prefix binary, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,52 +81,49 @@ def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int
         steps = word_rarity(texts)
         rows = tmp.table(_line_classes(texts, steps, width, percent), "lines")
         key = F.struct("doc_id", "h", "line_no")
-        place = F.rank().over(W.partitionBy("node").orderBy("doc_id", "h", "line_no"))
-        judged = tmp.table(rows.select("doc_id", "h", "line_no", "node", F.col("n").cast("long").alias("n_shingles"), (place == 1).alias("first")), "judged")
-        firsts = judged.filter("first").select("node", key.alias("key"))
-        band = F.floor(F.ln(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band")
-
-        # Tiles: classes that share a prefix shingle with a smaller one, by the smallest that shares it.
-        leader = F.first(F.struct("n", "node", "pos")).over(W.partitionBy("token").orderBy("n", "node"))
-        listed = rows.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("leader", leader).filter("leader.node <> node")
-        led = tmp.table(listed.groupBy("leader.node", "leader.n", "node", "n").agg(F.min("pos").alias("pos"), F.min("leader.pos").alias("lp")).toDF("leader", "ln", "node", "n", "pos", "lp"), "led")
-        own = led.groupBy("leader", "ln").agg(F.min("lp").alias("pos")).select("leader", F.col("leader").alias("node"), F.col("ln").alias("n"), "pos")
-        led = led.select("leader", "node", "n", "pos").union(own)
-        tiles = tmp.table(led.join(firsts.distinct(), "node").select("leader", "node", "n", "pos", "key", band), "tiles")
-        signed = tmp.table(rows.filter("s0 is not null").join(tiles.select("node").distinct(), "node").groupBy("node").agg(*(F.first(s).alias(s) for s in SIGNATURE)), "signatures")
+        firsts = tmp.table(rows.groupBy("node").agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("copies")), "firsts")
+        found = tiles_of(tmp, rows)
+        signed = signed_classes(tmp, rows, found, SIGNATURE)
+        tiles = tmp.table(found.join(firsts.select("node", "key"), "node").join(blocks_of(found), "leader").select("leader", "node", "n", "pos", "key", "blocks"), "tiles")
+        tmp.free(found)
         sides = [signed.select(F.col("node").alias(c), *(F.col(s).alias(c + s) for s in SIGNATURE)) for c in "ab"]
         alike = may_link(*([F.col(c + s) for s in SIGNATURE] for c in "ab"), F.col("na"), F.col("nb"), percent)
 
         def matched(pairs: DataFrame) -> DataFrame:
             """The later classes (node) of verified ``pairs`` (a, na, b, nb), b the earlier."""
             nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            sets = sets_of_nodes(tmp, texts, firsts.join(nodes, "node").select("node", "key.h"), lines, steps, width)
-            return tmp.table(verified(pairs, sets, percent).select(F.col("a").alias("node")).distinct(), "late")
+            sets, used = sets_of_nodes(tmp, texts, signed.select("node", "h").join(nodes, "node"), lines, steps, width)
+            late = tmp.table(verified(pairs, sets, percent).select(F.col("a").alias("node")).distinct(), "late")
+            tmp.free(*used)
+            return late
 
+        place = W.partitionBy("leader", "block").orderBy("key.doc_id", "key.h", "key.line_no")
         early = F.struct("key", "node", "n", "pos")
-        place = W.partitionBy("leader").orderBy("key")
-        ties = tiles.select("node", F.col("n").alias("na"), F.col("pos").alias("pa"), F.array(F.first(early).over(W.partitionBy("leader", "band").orderBy("key")), *(F.lag(early, k).over(place) for k in range(1, TIES + 1))).alias("to"))
-        ties = ties.select("node", "na", "pa", F.explode(F.array_compact("to")).alias("to")).select(F.col("node").alias("a"), "na", "pa", F.col("to.node").alias("b"), F.col("to.n").alias("nb"), F.col("to.pos").alias("pb"), F.col("to.key").alias("kb"))
-        # Of all tiles together, the earliest and the latest few.
-        some = ties.filter("a <> b").filter(similar).filter(enough).groupBy("a", "na").agg(F.collect_set(F.struct("kb", "b", "nb")).alias("to"))
-        some = some.select("a", "na", F.explode(F.array_distinct(F.concat(F.slice(F.array_sort("to"), 1, TIES), F.slice(F.sort_array("to", False), 1, TIES)))).alias("to"))
-        pairs = some.select("a", "na", F.col("to.b").alias("b"), F.col("to.nb").alias("nb"))
+        ties = tiles.select("leader", "node", "n", "pos", "key", block())
+        ties = ties.select("node", F.col("n").alias("na"), F.col("pos").alias("pa"), F.first(early).over(place).alias("b0"), *(F.lag(early, k).over(place).alias(f"b{k}") for k in range(1, TIES + 1)))
+        hopeful = [F.when((F.col(f"b{k}.node") != F.col("node")) & F.expr(similar.replace("nb", f"b{k}.n")) & F.expr(enough.replace("nb", f"b{k}.n").replace("pb", f"b{k}.pos")), F.struct(f"b{k}.key", f"b{k}.node", f"b{k}.n")) for k in range(TIES + 1)]
+        ties = ties.select("node", "na", *(h.alias(f"b{k}") for k, h in enumerate(hopeful))).filter(" or ".join(f"b{k} is not null" for k in range(TIES + 1)))
+        # Of all tiles together, the earliest first ones and the latest of the others.
+        some = ties.groupBy("node", "na").agg(F.array(F.min("b0"), *(F.max(f"b{k}") for k in range(1, TIES + 1))).alias("to"))
+        some = some.select(F.col("node").alias("a"), "na", F.explode(F.array_distinct(F.array_compact("to"))).alias("to"))
+        pairs = some.select("a", "na", F.col("to.node").alias("b"), F.col("to.n").alias("nb"))
         pairs = tmp.table(pairs.join(sides[0], "a").join(sides[1], "b").filter(alike).select("a", "na", "b", "nb"), "pairs")
         late = matched(pairs)
 
         # Classes without a match meet all earlier ones.
-        open_ = tiles.join(late.withColumn("late", F.lit(True)), "node", "left").join(signed, "node")
-        a = open_.filter("late is null").select("leader", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("key").alias("ka"), *(F.col(s).alias("a" + s) for s in SIGNATURE))
-        b = open_.select("leader", "band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("key").alias("kb"), *(F.col(s).alias("b" + s) for s in SIGNATURE))
-        meet = (a["leader"] == b["leader"]) & (a["band"] == b["band"]) & F.expr("kb < ka") & F.expr(similar) & F.expr(enough) & alike
+        held = tiles.join(signed.drop("h"), "node")
+        a = held.join(late, "node", "left_anti").select("leader", all_blocks(), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("key").alias("ka"), *(F.col(s).alias("a" + s) for s in SIGNATURE))
+        b = held.select("leader", block(), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("key").alias("kb"), *(F.col(s).alias("b" + s) for s in SIGNATURE))
+        meet = (a["leader"] == b["leader"]) & (a["block"] == b["block"]) & F.expr("kb < ka") & F.expr(similar) & F.expr(enough) & alike
         rest = a.join(b, meet).select("a", "na", "b", "nb").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb")
         rest = tmp.table(rest, "pairs")
         if not rest.isEmpty():
             late = late.union(matched(rest))
 
-        late = late.withColumn("late", F.lit(True))
-        out = judged.join(late, "node", "left").filter("late is not null or not first").select("doc_id", "h", "line_no", "n_shingles")
-        return tmp.keep(out)
+        marked = firsts.join(late.withColumn("late", F.lit(True)), "node", "left").filter("late or copies > 1")
+        marked = marked.select("node", F.col("key").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
+        out = rows.select(key.alias("key"), "node", "n").join(marked, "node").filter("late or not (key <=> first)")
+        return tmp.keep(out.select("key.doc_id", "key.h", "key.line_no", F.col("n").cast("long").alias("n_shingles")))
 
 
 def without_lines(df: DataFrame, late: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
