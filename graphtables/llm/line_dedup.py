@@ -84,7 +84,7 @@ def late_lines(spark: SparkSession, df: DataFrame, width: int = 5, percent: int
         firsts = tmp.table(rows.groupBy("node").agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("copies")), "firsts")
         found = tiles_of(tmp, rows)
         signed = signed_classes(tmp, rows, found, SIGNATURE)
-        tiles = tmp.table(found.join(firsts.select("node", "key"), "node").join(blocks_of(found), "leader").select("leader", "node", "n", "pos", "key", "blocks"), "tiles")
+        tiles = tmp.table(found.join(firsts.select("node", "key"), "node").join(tmp.table(blocks_of(found), "sizes"), "leader").select("leader", "node", "n", "pos", "key", "blocks"), "tiles")
         tmp.free(found)
         sides = [signed.select(F.col("node").alias(c), *(F.col(s).alias(c + s) for s in SIGNATURE)) for c in "ab"]
         alike = may_link(*([F.col(c + s) for s in SIGNATURE] for c in "ab"), F.col("na"), F.col("nb"), percent)
