@@ -121,5 +121,13 @@ def test_shards(spark, documents, corpus, reference, tmp_path):
     empty = f"file://{tmp_path}/none"
     token_shards.write(spark, documents([(1, None), (2, "")]), empty, BYTES, P.PATTERN, 50256, key=9)
     assert token_shards.read(spark, empty).count() == token_shards.digests(spark, empty).count() == 0
+    # One row, nothing but nulls, nothing but empty texts, no row.
+    for k, texts in enumerate([["one two"], [None], ["", ""], []]):
+        few = f"file://{tmp_path}/few{k}"
+        token_shards.write(spark, documents(list(enumerate(texts))), few, BYTES, P.PATTERN, 50256, key=9)
+        assert [reference.decode_bytes(r.tokens[:-1]).decode() for r in token_shards.read(spark, few).collect()] == [t for t in texts if t]
+    # Inside one shard, in the order of slots.
+    first = next(iter(manifest["shards"].values()))
+    assert token_shards.read(spark, out, 3, first - 5).collect() == whole[3 : first - 2]
     with pytest.raises(ZeroDivisionError):
         token_shards.write(spark, df, f"file://{tmp_path}/bad", BYTES, P.PATTERN, 50256, key=9, length=0)
