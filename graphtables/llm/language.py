@@ -14,7 +14,7 @@ a hash of the id from all texts of the learning fold.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -27,6 +27,8 @@ from graphtables.llm.common import fold, map_batches, mix64, slices, small_batch
 BITS = 17
 GRAMS = 4
 ROWS = 4000
+#: Languages that a model learns at most: the most frequent ones.
+LANGUAGES = 64
 UNKNOWN = "und"
 # Families of languages by ISO 639-1 code; another language is a family of its own.
 FAMILIES = {
@@ -167,10 +169,15 @@ class WordSums:
         return self.sums[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
 
-def train(df: DataFrame, rows: int = ROWS) -> Model:
-    """A model of the languages that ``df`` (doc_id, text, lang) names outside the held-out fold."""
+def train(df: DataFrame, rows: int = ROWS, most: int = LANGUAGES) -> Model:
+    """A model of the languages that ``df`` (doc_id, text, lang) names outside the held-out fold.
+
+    It learns from about ``rows`` texts and from the ``most`` most frequent languages
+    (in a tie the first by name), so its size does not depend on what ``lang`` holds.
+    """
     learn = df.filter(fold(F.col("doc_id")) != 2).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    named = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    counts = {r["lang"]: r["n"] for r in named.collect()}
     languages = sorted(counts)
     model = Model(languages)
     if not languages:
@@ -237,24 +244,31 @@ def languages(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_c
     """doc_id, held_out, lang_pred, score of every row of ``df``, whole texts.
 
     ``und`` with score 0 for texts that are null or have no letter, and for all if no
-    language can be learned.  A null id counts as empty text in the fold.  Other columns
+    language can be learned.  Of more than LANGUAGES values of lang the most frequent
+    are learned.  A null id counts as empty text in the fold.  Other columns
     are not read.
     """
     rows = _columns(df, id_col, text_col, lang_col)
     return predict(rows, train(rows))
 
 
-def known_language(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``df``, all columns as they are, whose language can be told: those not ``und``."""
+def known_language(spark: SparkSession, df: DataFrame, keep: Collection[str] | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df``, all columns as they are, that are predicted to be in one of the languages ``keep`` (None: in any that was learned) with a score of ``least`` or more.
+
+    So texts that are null or have no letter go, texts of other languages, and texts
+    whose best language is not likely enough.  What the column of languages says of
+    a row does not decide about it.
+    """
     small_batches(spark)
     model = train(_columns(df, id_col, text_col, lang_col))
     shared = spark.sparkContext.broadcast(model)
+    wanted = None if keep is None else frozenset(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = WordSums(shared.value.weights)
         for piece in slices(batches, text_col, 2 << 20):
-            names, _ = decisions(shared.value, sums, piece.column(text_col).to_pylist())
-            yield piece.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+            names, scores = decisions(shared.value, sums, piece.column(text_col).to_pylist())
+            yield piece.filter(pa.array([x != UNKNOWN and s >= least and (wanted is None or x in wanted) for x, s in zip(names, scores.tolist())], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -8,7 +8,8 @@ so its score is a sparse dot product that needs no sorting: the mean of the toke
 weights.
 
 The model learns from a sample: about ``per_class`` labelled rows of either class at most, drawn by a
-hash of the id from all labelled rows of the learning fold.  The log-odds are then set
+hash of the id from all labelled rows of the learning fold, and of those as many as have
+SAMPLE_BYTES of text together.  The log-odds are then set
 back to the share that the classes have among all of these rows.
 """
 
@@ -27,6 +28,7 @@ from graphtables.llm.common import fold, map_batches, mix64, slices, table
 
 BITS = 20
 PER_CLASS = 4000
+SAMPLE_BYTES = 64 << 20
 SCALE = 20.0
 _PARTS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+")
 
@@ -106,14 +108,25 @@ class Ftrl:
         self.nb += gb * gb
 
 
-def train(df: DataFrame, labels: DataFrame, label_col: str, per_class: int = PER_CLASS, bits: int = BITS, epochs: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows of ``df`` (doc_id, text) that ``labels`` (doc_id, label) marks outside the held-out fold."""
+def train(df: DataFrame, labels: DataFrame, label_col: str, per_class: int = PER_CLASS, bits: int = BITS, epochs: int = 4, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """Weights and bias from rows of ``df`` (doc_id, text) that ``labels`` (doc_id, label) marks outside the held-out fold.
+
+    Of the drawn rows, each class learns from those that find room in half of
+    ``sample_bytes``, in the order of the draw; what comes to the driver is bounded by it.
+    """
     marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     marked = marked.filter(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("y") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
-    drawn = F.broadcast(marked.filter(draw < rate))  # of about 2 * per_class rows
+    drawn = marked.filter(draw < rate).withColumn("draw", draw)  # about 2 * per_class rows
+    sized = df.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y", "draw").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()
+    chosen, room = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for r in sorted(sized, key=lambda r: (r["draw"], r["doc_id"])):
+        if r["n"] <= room[r["y"]]:
+            room[r["y"]] -= r["n"]
+            chosen.append((r["doc_id"], r["y"]))
+    learn = F.broadcast(df.sparkSession.createDataFrame(chosen, "doc_id long, y int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -125,7 +138,7 @@ def train(df: DataFrame, labels: DataFrame, label_col: str, per_class: int = PER
             share = (n / lens[at >> bits]).astype(np.float32)
             yield pa.record_batch([piece.column("doc_id"), piece.column("y"), pa.ListArray.from_arrays(offsets, pa.array((at & ((1 << bits) - 1)).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(share))], ["doc_id", "y", "at", "x"])
 
-    rows = df.join(drawn, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at array<int>, x array<float>").toArrow()
+    rows = df.join(learn, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at array<int>, x array<float>").toArrow()
     model = Ftrl(bits)
     ids, ys = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()
     at, x = rows.column("at").combine_chunks(), rows.column("x").combine_chunks()

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from graphtables.llm.common import Scratch, most_frequent, slices, table
 
 HEAD = 1 << 18
+#: Longer pre-tokens are never broadcast, so what is takes HEAD * WORD_BYTES at most.
+WORD_BYTES = 64
 #: No pre-token holds a blank, so these join with none.
 OWN = b" "
 
@@ -89,12 +91,13 @@ def count_tokens(spark: SparkSession, df: DataFrame, path: str, limit: int = 204
 
     Null and empty texts have no bytes and no tokens.  Rows repeat as they do in the
     input, rows with a null or repeated id are counted one by one, and other columns
-    are not read.
+    are not read.  Rows are told apart by partition and place, so ``df`` must give the
+    same rows in the same order when a task runs again, as a scan of files does.
     """
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").cast("binary").alias("text"))
     with Scratch(spark) as tmp:
         vocab = tmp.table(piece_table(texts, path), "pieces")
-        top = most_frequent(vocab, "n_seen", head).select("word", "n_pieces").toArrow().combine_chunks()
+        top = most_frequent(vocab.filter(F.octet_length("word") <= WORD_BYTES), "n_seen", head).select("word", "n_pieces").toArrow().combine_chunks()
         shared = spark.sparkContext.broadcast((top.column(0).cast(pa.binary()), top.column(1)))
 
         key = tmp.root

@@ -1,9 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from graphtables.llm import decontaminate, jaccard_join, line_dedup
+from graphtables.llm import decontaminate, jaccard_join, line_dedup, shingle_sets
 from tests.llm.conftest import make_words, shingles_of, words_of
 
 
@@ -114,6 +115,52 @@ def test_lines(spark, documents, corpus, seed):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == left
 
 
+def test_one_word_lines(spark, documents):
+    """A very long text of very many short lines."""
+    rng = random.Random(4)
+    lines = [f"w{rng.randrange(300_000)}" for _ in range(500_000)]
+    late = line_dedup.late_lines(spark, documents([(1, "\n".join(lines))])).collect()
+    seen, wanted = set(), set()
+    for k, x in enumerate(lines):
+        if x in seen:
+            wanted.add(k)
+        seen.add(x)
+    assert {r.line_no for r in late} == wanted
+
+
+def test_large_tile(spark, documents):
+    """Thousands of classes that share a rare passage, of which few are near copies: more than a block of one tile."""
+    rng = random.Random(9)
+    shared = " ".join(make_words(rng, 12))
+    rows = [(k, f"{shared} {' '.join(f'u{k}x{j}' for j in range(20))}") for k in range(2500)]
+    copies = [(5000 + k, f"{t} z{k}") for k, (_, t) in enumerate(rows[::50])]
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark, documents(rows + copies)).collect()}
+    assert got == {k: k for k, _ in rows} | {5000 + k: 50 * k for k in range(len(copies))}
+    late = line_dedup.late_lines(spark, documents(rows + copies)).collect()
+    assert {r.doc_id for r in late} == {i for i, _ in copies}
+
+
+def test_signatures_bound_the_difference():
+    """Parity bitmaps of one set, whole or in blocks, are the same, and fold to shorter ones."""
+    rng = np.random.default_rng(0)
+    words = rng.integers(0, 1 << 60, 6000).astype(np.uint64)
+    lens = np.array([5000, 7, 0, 993])
+    sets = shingle_sets.ordered_sets(words, lens, 5, np.zeros(1 << 17, np.uint8))
+    whole = shingle_sets.signatures(sets, 4)
+    few = shingle_sets.COUNTERS
+    try:
+        shingle_sets.COUNTERS = 256
+        assert (shingle_sets.signatures(sets, 4) == whole).all()
+    finally:
+        shingle_sets.COUNTERS = few
+    long = shingle_sets.long_signatures(sets, np.arange(4))
+    assert [None if x is None else len(x) for x in long.to_pylist()] == [256, None, None, 32]
+    x = np.array(long[0].as_py(), np.int64)
+    while len(x) > 4:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    assert (x == whole[0]).all()
+
+
 def test_contained_items(spark, documents, corpus):
     rng = random.Random(2)
     items = [(k, " ".join(make_words(rng, n))) for k, n in enumerate([1, 3, 5, 6, 8, 9, 17, 18, 30, 33, 60, 64, 65, 200])]

@@ -63,6 +63,28 @@ def test_languages_without_any(spark, documents):
     assert language.languages(spark, documents([])).count() == 0
 
 
+def test_language_decides(spark, documents):
+    """What goes is what the prediction says, and it alone."""
+    df, _ = frame(documents, made_texts(4, 300))
+    said = {(r.doc_id, r.lang_pred) for r in language.languages(spark, df).filter("score >= 0.5").collect()}
+    learned = {x for _, x in said} - {"und"}
+    assert len(learned) > 1
+    for keep in [None, *({x} for x in sorted(learned))]:
+        kept = language.known_language(spark, df, keep, 0.5)
+        assert kept.columns == df.columns
+        assert {r.doc_id for r in kept.collect()} == {i for i, x in said if x in (learned if keep is None else keep)}
+    assert language.known_language(spark, df, least=1.1).count() == 0
+
+
+def test_many_languages(spark, documents):
+    """A model learns from the most frequent ones, however many there are."""
+    rows = [(k, f"wort satz text {k % 7}") for k in range(5300)]
+    df = documents(rows, [f"x{k}" if k < 5000 else "de" if k % 2 else "en" for k in range(5300)])
+    model = language.train(df)
+    assert len(model.languages) == language.LANGUAGES and {"de", "en"} <= set(model.languages)
+    assert language.train(df, most=2).languages == ["de", "en"]
+
+
 def test_word_sums_are_sums_of_grams():
     rng = np.random.default_rng(0)
     weights = rng.normal(size=(1 << language.BITS, 3)).astype(np.float32)
@@ -94,6 +116,19 @@ def test_quality(spark, documents):
     assert quality.quality(spark, documents([]), labels).count() == 0
 
 
+def test_quality_sample_is_bounded(spark, documents):
+    """Labelled texts that find no room are not learned from, and are scored all the same."""
+    rows = made_texts(6, 200)
+    long = [(9000 + k, "word " * 20000) for k in range(4)]
+    df = documents([(i, t) for i, t, *_ in rows] + long)
+    labels = spark.createDataFrame([(i, q) for i, _, _, q in rows] + [(i, 1) for i, _ in long], "doc_id long, quality int")
+    texts = df.selectExpr("doc_id", "cast(text as binary) AS text")
+    bounded, _ = quality.train(texts, labels, "quality", sample_bytes=100_000)
+    without, _ = quality.train(texts.filter("doc_id < 9000"), labels, "quality", sample_bytes=100_000)
+    assert (bounded == without).all() and (bounded != 0).any()
+    assert quality.quality(spark, df, labels).count() == len(rows) + 4
+
+
 def test_ftrl_finds_the_weights():
     rng = np.random.default_rng(1)
     model = quality.Ftrl(4)

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from graphtables.llm import bpe, decontaminate, jaccard_join, queries
+from graphtables.llm import bpe, decontaminate, jaccard_join, language, queries
 from tests.llm.conftest import shingles_of, words_of
 
 DATA = "/root/testdata/sf0.001"
@@ -29,6 +29,21 @@ def test_stages(spark, tmp_path):
         assert r.n_chars == len(r.text)
     lines = [(r.doc_id, k, shingles_of(x)) for r in kept["lines"].values() for k, x in enumerate(r.text.split("\n")) if words_of(x)]
     assert len({s for *_, s in lines}) == len(lines)
+    # By brute force: a line stays if no earlier one is a near copy, and a document with a line that stays.
+    earlier, wanted = [], {}
+    for i, r in sorted(kept["language"].items()):
+        stay = []
+        for x in r.text.split("\n"):
+            s = shingles_of(x)
+            if not s or not any(100 * len(s & e) >= 80 * len(s | e) for e in earlier if 0.8 <= len(s) / len(e) <= 1.25):
+                stay.append(x)
+            if s:
+                earlier.append(s)
+        if words_of("\n".join(stay)) or not words_of(r.text):
+            wanted[i] = "\n".join(stay)
+    assert {i: r.text for i, r in kept["lines"].items()} == wanted
+    said = language.languages(spark, docs := spark.read.parquet(f"{DATA}/documents.parquet")).filter("score >= 0.5").collect()
+    assert set(kept["language"]) == {r.doc_id for r in said if r.lang_pred in corpus_pipeline.LANGUAGES} <= {r.doc_id for r in docs.collect()}
     sets = [shingles_of(r.text) for r in kept["near_duplicates"].values()]
     for i, a in enumerate(sets):
         assert not any(100 * len(a & b) >= 80 * len(a | b) for b in sets[:i] if a and b and 0.8 <= len(a) / len(b) <= 1.25)

@@ -80,6 +80,19 @@ def test_token_counts(spark, documents, corpus, head):
     assert token_counts.count_tokens(spark, documents([]), WORDS, head=head).count() == 0
 
 
+def test_long_pretokens_are_not_broadcast(spark, documents, monkeypatch):
+    import graphtables.llm.token_counts as module
+
+    rows = [(k, "ab" * 100_000 + " one two") for k in range(3)]
+    heads = []
+    most = module.most_frequent
+    monkeypatch.setattr(module, "most_frequent", lambda *a: heads.append(most(*a)) or heads[0])
+    got = module.count_tokens(spark, documents(rows), WORDS).collect()
+    n = len(Tokenizer.from_file(WORDS).encode(rows[0][1], add_special_tokens=False).ids)
+    assert {(r.n_bytes, r.n_tokens) for r in got} == {(200_008, n)}
+    assert len(heads) == 1
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 16, 17, 1000, 4097])
 def test_feistel(size):
     order = token_shards.Feistel(size, 7)
