@@ -10,9 +10,13 @@ from graphtables.llm import bpe, decontaminate, jaccard_join, language, line_ded
 from graphtables.llm.common import Scratch, table
 
 
+#: Languages that the corpus is to have.
+LANGUAGES = ("de", "en", "es", "fr")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters go."""
-    return language.known_language(spark, docs)
+    """Documents go that have no letter, are predicted to be in none of LANGUAGES, or whose best language is less likely than not."""
+    return language.known_language(spark, docs, LANGUAGES, least=0.5)
 
 
 def without_late_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
