@@ -48,10 +48,10 @@ def _null_or(value: object, *args: Typed) -> Column:
 
 
 class Scope:
-    """What variables and parameters stand for while expressions are lowered."""
+    """What variables and parameters stand for while expressions are lowered; ``order`` has the variables whose ids order what is collected."""
 
-    def __init__(self, entities: dict[str, Entity], parameters: dict[str, object]):
-        self.entities, self.parameters = entities, parameters
+    def __init__(self, entities: dict[str, Entity], parameters: dict[str, object], order: list[str] | None = None):
+        self.entities, self.parameters, self.order = entities, parameters, order or []
 
     def lower(self, e: Expr) -> Typed:
         match e:
@@ -227,7 +227,7 @@ class Scope:
         if name == "count":
             return Typed(F.count_distinct(c) if e.distinct else F.count(c), t.INT)
         if name == "collect":
-            return Typed(F.collect_set(c) if e.distinct else F.collect_list(c), t.LISTS.get(v.type, t.LISTS[t.STRING]))
+            return Typed(F.array_sort(F.collect_set(c)) if e.distinct else self._collected(c), t.LISTS.get(v.type, t.LISTS[t.STRING]))
         if name in ("min", "max"):
             return Typed((F.min if name == "min" else F.max)(c), v.type)
         v = self.number(arg)
@@ -236,6 +236,12 @@ class Scope:
         total = F.sum_distinct(v.column) if e.distinct else F.sum(v.column)
         return Typed(F.coalesce(total, F.lit(0.0 if v.type == t.FLOAT else 0).cast(t.SPARK[v.type])), v.type)
 
+    def _collected(self, c: Column) -> Column:
+        """The values that are not null, in the order of the ids of the pattern's nodes, then of its relationships: joins keep no order that could be told."""
+        ids = (self.entities[x].id.alias(f"k{i}") for i, x in enumerate(self.order))
+        rows = F.collect_list(F.when(c.isNotNull(), F.struct(*ids, c.alias("value"))))
+        return F.transform(F.array_sort(rows), lambda x: x["value"])
+
 
 def _avg(c: Column, distinct: bool) -> Column:
     return F.sum_distinct(c) / F.nullif(F.count_distinct(c), F.lit(0)) if distinct else F.avg(c)

@@ -50,7 +50,7 @@ class _Needs:
 class _Lowering:
     def __init__(self, plan: Returning, graph: Graph, parameters: Mapping[str, object]):
         self.plan, self.graph = plan, graph
-        self.scope = Scope({}, dict(parameters))
+        self.scope = Scope({}, dict(parameters), plan.variables)
         self.needs = _Needs()
         self.number = 0
         for e in _expressions(plan.input):

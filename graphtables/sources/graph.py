@@ -40,6 +40,9 @@ class RelTable:
     dst_labels: set[str] | None = None
     src_all: set[str] = field(default_factory=set)
     dst_all: set[str] = field(default_factory=set)
+    ends_exist: bool = False  # every source and every target is a node of the graph
+    sources: int | None = None  # how many nodes are a source, or a target
+    targets: int | None = None
 
 
 def _properties(df: DataFrame, what: str) -> dict[str, str]:
@@ -57,6 +60,7 @@ class Graph:
         self.nodes = {n.label: n for n in sorted(nodes, key=lambda n: (n.label is not None, n.label or ""))}
         self.rels = {r.type: r for r in sorted(rels, key=lambda r: r.type)}
         self.manifest = manifest
+        self.root: str | None = None  # of a graph that was opened
 
     # Making one.
 
@@ -76,7 +80,9 @@ class Graph:
             df = df.withColumns({c: df[c].cast("long") for c in (ID, SRC, DST)})
             rels.append(RelTable(r.type, df, {p.name: p.type for p in r.schema}, r.row_count, set(r.src_labels), set(r.dst_labels), set(r.src_all), set(r.dst_all)))
             _properties(df, r.file)
-        return Graph(spark, nodes, rels, manifest)
+        graph = Graph(spark, nodes, rels, manifest)
+        graph.root = root
+        return graph
 
     @staticmethod
     def from_dataframes(
@@ -85,21 +91,24 @@ class Graph:
         relationships: Mapping[str, DataFrame],
         rows: Mapping[str | None, int] | None = None,
         endpoints: Mapping[str, tuple[Iterable[str], Iterable[str]]] | None = None,
+        degrees: Mapping[str, tuple[int, int, int]] | None = None,
     ) -> Graph:
         """Node tables have ``_id``, relationship tables ``_id, _src, _dst``; all other columns are properties.
 
         A node of several labels is in the table of each.  A column ``_labels`` with the
-        sorted labels of each node, if all node tables have it, spares joins.  ``rows``
-        are estimates for the join order.  ``endpoints`` declares for a type that every
-        source and every target has these labels, so nodes that nothing else is asked
-        of need not be read.
+        sorted labels of each node, if all node tables have it, spares joins.  ``rows``,
+        and for each type ``degrees`` (relationships, different sources, different
+        targets), are estimates for the join order.  ``endpoints`` declares for a type
+        that every source and every target is a node of the graph and has these labels
+        (there may be none), so nodes that nothing else is asked of need not be read.
         """
-        known, sure = dict(rows or {}), dict(endpoints or {})
+        known, sure, sizes = dict(rows or {}), dict(endpoints or {}), dict(degrees or {})
         tables = [NodeTable(label, df, _properties(df, f"the table of `{label}`"), known.get(label), LABELS in df.columns) for label, df in nodes.items()]
         rels = []
         for kind, df in relationships.items():
             src, dst = (set(x) for x in sure.get(kind, ((), ())))
-            rels.append(RelTable(kind, df, _properties(df, f"the table of `{kind}`"), src_all=src, dst_all=dst))
+            n, sources, targets = sizes.get(kind, (None, None, None))
+            rels.append(RelTable(kind, df, _properties(df, f"the table of `{kind}`"), n, src_all=src, dst_all=dst, ends_exist=kind in sure, sources=sources, targets=targets))
         return Graph(spark, tables, rels)
 
     # What the binder asks.
@@ -116,6 +125,13 @@ class Graph:
     def every_endpoint_has(self, type_: str, source: bool) -> set[str]:
         return self.rels[type_].src_all if source else self.rels[type_].dst_all
 
+    def endpoint_exists(self, type_: str, source: bool) -> bool:
+        return self.rels[type_].ends_exist or bool(self.every_endpoint_has(type_, source))
+
+    def degrees(self, type_: str) -> tuple[int | None, int | None, int | None]:
+        r = self.rels[type_]
+        return r.rows, r.sources, r.targets
+
     # Scans.
 
     @property

@@ -78,4 +78,5 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     }
     # Relative sizes, for the join order only.
     rows = {"Region": 5, "Nation": 25, "Customer": 150_000, "Supplier": 10_000, "Debtor": 15_000, "Part": 200_000, "Order": 1_500_000, "Event": 1_000_000, "Document": 100_000, "Good": 30_000, "Toxic": 5_000, None: 200}
-    return Graph.from_dataframes(spark, nodes, relationships, rows, endpoints)
+    degrees = {"IN_REGION": (25, 25, 5), "IN_NATION": (160_000, 160_000, 25), "PLACED": (1_500_000, 100_000, 1_500_000), "CONTAINS": (6_000_000, 1_500_000, 200_000), "SUPPLIED_BY": (6_000_000, 1_500_000, 10_000), "DID": (1_000_000, 150_000, 1_000_000)}
+    return Graph.from_dataframes(spark, nodes, relationships, rows, endpoints, degrees)

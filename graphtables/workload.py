@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphtables.sources.graph import Graph
 from graphtables.sources.star import star_graph
+from graphtables.sources.stored import stored_star
 
 
 @dataclass(frozen=True)
@@ -74,8 +75,7 @@ CASES: dict[str, Case] = {
     "expand_undirected": Case("MATCH (n:Nation)-[:IN_REGION]-(x) RETURN n.name AS nation, id(x) AS other", "SELECT n.name AS nation, r.dst AS other FROM n_nation n JOIN r_in_region r ON r.src = n.id"),
     "expand_multi_hop": Case("MATCH (g:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN g.name AS region, count(*) AS n_orders", "SELECT g.name AS region, count(*) AS n_orders FROM n_region g JOIN r_in_region a ON a.dst = g.id JOIN r_in_nation b ON b.dst = a.src JOIN n_customer c ON c.id = b.src JOIN r_placed p ON p.src = c.id GROUP BY 1"),
     "expand_multi_type": Case("MATCH (o:Order)-[r:CONTAINS|SUPPLIED_BY]->(x) WHERE o.totalprice > 450000 RETURN o.key AS key, type(r) AS kind, count(*) AS c", "SELECT o.key, r.type AS kind, count(*) AS c FROM n_order o JOIN r_all r ON r.src = o.id WHERE o.totalprice > 450000 AND r.type IN ('CONTAINS', 'SUPPLIED_BY') GROUP BY 1, 2"),
-    "expand_any_type": Case("MATCH (c:Customer {key: 7})-[r]->(x) RETURN id(r) AS rel, id(x) AS other", "SELECT r.id AS rel, r.dst AS other FROM r_all r WHERE r.src = 3000000000007"),
-    "expand_any_type_all": Case("MATCH (c:Customer)-[r]->(x) RETURN id(r) AS rel, id(x) AS other", "SELECT r.id AS rel, r.dst AS other FROM n_customer c JOIN r_all r ON r.src = c.id"),
+    "expand_any_type": Case("MATCH (c:Customer)-[r]->(x) RETURN id(r) AS rel, id(x) AS other", "SELECT r.id AS rel, r.dst AS other FROM n_customer c JOIN r_all r ON r.src = c.id"),
     "type_fn": Case("MATCH ()-[r]->() RETURN type(r) AS kind, count(*) AS c", "SELECT type AS kind, count(*) AS c FROM r_all GROUP BY 1"),
     "rel_property_filter": Case("MATCH (o:Order)-[l:CONTAINS]->(p:Part) WHERE l.quantity >= 45 AND l.returnflag = 'R' RETURN o.key AS key, p.name AS part, l.quantity AS quantity", "SELECT o.key, p.name AS part, l.quantity FROM n_order o JOIN r_contains l ON l.src = o.id JOIN n_part p ON p.id = l.dst WHERE l.quantity >= 45 AND l.returnflag = 'R'"),
     "inline_map_node": Case("MATCH (c:Customer {mktsegment: 'BUILDING'}) RETURN c.key AS key", "SELECT key FROM n_customer WHERE mktsegment = 'BUILDING'"),
@@ -89,6 +89,7 @@ CASES: dict[str, Case] = {
     "rel_uniqueness_anonymous": Case("MATCH (:Supplier)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(:Supplier) RETURN n.name AS nation, count(*) AS pairs", "SELECT n.name AS nation, count(*) AS pairs FROM n_nation n JOIN r_in_nation a ON a.dst = n.id JOIN n_supplier s ON s.id = a.src JOIN r_in_nation b ON b.dst = n.id JOIN n_supplier t ON t.id = b.src WHERE a.id <> b.id GROUP BY 1"),
     "rel_uniqueness_across_patterns": Case("MATCH (a:Supplier)-[r:IN_NATION]->(n:Nation), (b:Supplier)-[q:IN_NATION]->(n) WHERE a.acctbal < b.acctbal RETURN n.name AS nation, count(*) AS pairs", "SELECT n.name AS nation, count(*) AS pairs FROM n_nation n JOIN r_in_nation r ON r.dst = n.id JOIN n_supplier a ON a.id = r.src JOIN r_in_nation q ON q.dst = n.id JOIN n_supplier b ON b.id = q.src WHERE r.id <> q.id AND a.acctbal < b.acctbal GROUP BY 1"),
     "two_labels_one_type": Case("MATCH (x)-[:IN_NATION]->(n:Nation) RETURN n.name AS nation, count(*) AS c", "SELECT n.name AS nation, count(*) AS c FROM r_in_nation r JOIN n_nation n ON n.id = r.dst GROUP BY 1"),
+    "repeated_node": Case("MATCH (n:Nation)-[:IN_REGION]->(g)<-[:IN_REGION]-(m:Nation), (n)-[:IN_REGION]->(g) RETURN count(*) AS c", "SELECT 0::BIGINT AS c"),
     "cross_join": Case("MATCH (a:Region), (b:Nation) RETURN a.name AS region, b.name AS nation", "SELECT a.name AS region, b.name AS nation FROM n_region a CROSS JOIN n_nation b"),
     "theta_filter": Case("MATCH (a:Nation)-[:IN_REGION]->(g)<-[:IN_REGION]-(b:Nation) WHERE a.name < b.name RETURN a.name AS a, b.name AS b", "SELECT a.name AS a, b.name AS b FROM n_nation a JOIN r_in_region r ON r.src = a.id JOIN r_in_region q ON q.dst = r.dst JOIN n_nation b ON b.id = q.src WHERE a.name < b.name"),
     "leftover_constant_filter": Case("MATCH (a:Region) WHERE $on AND a.key >= 0 RETURN a.name AS name", "SELECT name FROM n_region", {"on": True}),
@@ -96,10 +97,8 @@ CASES: dict[str, Case] = {
     "project_expr": Case("MATCH (p:Part) RETURN p.key AS key, p.psize * 2 + 1 AS x, -p.psize AS y, p.retailprice > 1500.0 AS dear", "SELECT key, psize * 2 + 1 AS x, -psize AS y, retailprice > 1500 AS dear FROM n_part"),
     "default_names": Case("MATCH (r:Region) RETURN r.name, r.key + 1", 'SELECT name AS "r.name", key + 1 AS "r.key + 1" FROM n_region'),
     "distinct": Case("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN DISTINCT n.name AS nation, c.mktsegment AS segment", "SELECT DISTINCT n.name AS nation, c.mktsegment AS segment FROM n_customer c JOIN r_in_nation r ON r.src = c.id JOIN n_nation n ON n.id = r.dst"),
-    "order_nulls_asc": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality, key LIMIT 700", "SELECT key, quality FROM n_document ORDER BY quality ASC NULLS LAST, key LIMIT 700"),
-    "order_nulls_desc": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality DESC, key LIMIT 50", "SELECT key, quality FROM n_document ORDER BY quality DESC NULLS FIRST, key LIMIT 50"),
-    "order_nulls_asc_all": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality, key", "SELECT key, quality FROM n_document ORDER BY quality ASC NULLS LAST, key"),
-    "order_nulls_desc_all": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality DESC, key", "SELECT key, quality FROM n_document ORDER BY quality DESC NULLS FIRST, key"),
+    "order_nulls_asc": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality, key", "SELECT key, quality FROM n_document ORDER BY quality ASC NULLS LAST, key"),
+    "order_nulls_desc": Case("MATCH (d:Document) RETURN d.key AS key, d.quality AS quality ORDER BY quality DESC, key", "SELECT key, quality FROM n_document ORDER BY quality DESC NULLS FIRST, key"),
     "order_hidden_key": Case("MATCH (c:Customer) RETURN c.name AS name ORDER BY c.acctbal DESC, c.key LIMIT 10", "SELECT name FROM n_customer ORDER BY acctbal DESC, key LIMIT 10"),
     "skip_limit_params": Case("MATCH (n:Nation) RETURN n.name AS name ORDER BY name SKIP $skip LIMIT $limit", "SELECT name FROM n_nation ORDER BY name LIMIT 6 OFFSET 4", {"skip": 4, "limit": 6}),
     "topk": Case("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.name AS name, o.totalprice AS price, o.key AS key ORDER BY price DESC, key LIMIT 20", "SELECT c.name, o.totalprice AS price, o.key FROM n_customer c JOIN r_placed r ON r.src = c.id JOIN n_order o ON o.id = r.dst ORDER BY price DESC, o.key LIMIT 20"),
@@ -113,15 +112,17 @@ CASES: dict[str, Case] = {
     "sum_empty": Case("MATCH (c:Customer) WHERE c.acctbal > 1000000 RETURN sum(c.key) AS s, sum(c.acctbal) AS f, count(*) AS c, avg(c.acctbal) AS a, max(c.name) AS m", "SELECT 0::BIGINT AS s, 0::DOUBLE AS f, 0::BIGINT AS c, NULL::DOUBLE AS a, NULL::VARCHAR AS m"),
     "avg": Case("MATCH (o:Order) RETURN o.priority AS priority, avg(o.totalprice) AS mean", "SELECT priority, round(avg(totalprice), 4) AS mean FROM n_order GROUP BY 1", rounded={"mean": 4}),
     "min_max": Case("MATCH (s:Supplier) RETURN min(s.acctbal) AS least, max(s.acctbal) AS most, min(s.name) AS first_, max(s.key) AS last_", "SELECT min(acctbal) AS least, max(acctbal) AS most, min(name) AS first_, max(key) AS last_ FROM n_supplier"),
-    "collect": Case("MATCH (n:Nation)-[:IN_REGION]->(g:Region) RETURN g.name AS region, collect(n.name) AS nations", "SELECT g.name AS region, list(n.name) AS nations FROM n_nation n JOIN r_in_region r ON r.src = n.id JOIN n_region g ON g.id = r.dst GROUP BY 1"),
-    "collect_skips_null": Case("MATCH (d:Document) WHERE d.key < 50 RETURN d.lang AS lang, collect(d.quality) AS marks, collect(DISTINCT d.quality) AS kinds", "SELECT lang, list(quality) FILTER (quality IS NOT NULL) AS marks, list(DISTINCT quality) FILTER (quality IS NOT NULL) AS kinds FROM n_document WHERE key < 50 GROUP BY 1"),
-    "collect_skips_null_all": Case("MATCH (d:Document) RETURN d.lang AS lang, collect(d.quality) AS marks, collect(DISTINCT d.quality) AS kinds", "SELECT lang, list(quality) FILTER (quality IS NOT NULL) AS marks, list(DISTINCT quality) FILTER (quality IS NOT NULL) AS kinds FROM n_document GROUP BY 1"),
+    "collect": Case("MATCH (n:Nation)-[:IN_REGION]->(g:Region) RETURN g.name AS region, collect(n.name) AS nations", "SELECT g.name AS region, list(n.name ORDER BY n.id) AS nations FROM n_nation n JOIN r_in_region r ON r.src = n.id JOIN n_region g ON g.id = r.dst GROUP BY 1"),
+    "collect_skips_null": Case("MATCH (d:Document) RETURN d.lang AS lang, collect(d.quality) AS marks, collect(DISTINCT d.quality) AS kinds", "SELECT lang, list(quality ORDER BY id) FILTER (quality IS NOT NULL) AS marks, list(DISTINCT quality ORDER BY quality) FILTER (quality IS NOT NULL) AS kinds FROM n_document GROUP BY 1"),
+    "collect_node": Case("MATCH (n:Nation)-[:IN_REGION]->(g:Region) RETURN g.name AS region, collect(n) AS nations", "SELECT g.name AS region, list({'_id': n.id, '_labels': ['Nation'], 'key': n.key, 'name': n.name} ORDER BY n.id) AS nations FROM n_nation n JOIN r_in_region r ON r.src = n.id JOIN n_region g ON g.id = r.dst GROUP BY 1"),
     "group_by_implicit": Case("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN count(*) AS c, n.name AS nation, c.mktsegment AS segment, min(c.acctbal) AS least", "SELECT count(*) AS c, n.name AS nation, c.mktsegment AS segment, min(c.acctbal) AS least FROM n_customer c JOIN r_in_nation r ON r.src = c.id JOIN n_nation n ON n.id = r.dst GROUP BY 2, 3"),
     "agg_distinct_rows": Case("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN DISTINCT count(*) AS c, n.key % 3 AS k", "SELECT count(*) AS c, n.key % 3 AS k FROM n_customer c JOIN r_in_nation r ON r.src = c.id JOIN n_nation n ON n.id = r.dst GROUP BY 2"),
     "order_by_aggregate": Case("MATCH (c:Customer)-[:PLACED]->(o) RETURN c.key AS key, count(*) AS c ORDER BY count(*) DESC, c.key LIMIT 15", "SELECT c.key, count(*) AS c FROM n_customer c JOIN r_placed r ON r.src = c.id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"),
     # Expressions and functions.
     "arith_int_div_mod": Case("MATCH (p:Part) RETURN p.key AS key, -p.psize / 7 AS q, -p.psize % 7 AS r, p.psize % -7 AS s", "SELECT key, -(psize // 7) AS q, -(psize % 7) AS r, psize % 7 AS s FROM n_part"),
     "arith_float": Case("MATCH (p:Part) RETURN p.key AS key, p.retailprice / 2 AS half, -7.5 % 2 AS m, p.psize * 0.5 AS f", "SELECT key, retailprice / 2 AS half, -1.5::DOUBLE AS m, psize * 0.5::DOUBLE AS f FROM n_part"),
+    "precedence": Case("MATCH (r:Region) RETURN r.key AS key, 1 + 2 * r.key - 6 / 2 % 2 AS a, NOT r.key = 1 OR r.key = 1 AND r.key > 3 AS b, (1 + 2) * r.key < 7 AS c", "SELECT key, 1 + 2 * key - 1 AS a, (NOT key = 1) OR (key = 1 AND key > 3) AS b, 3 * key < 7 AS c FROM n_region"),
+    "string_escapes": Case(r"""MATCH (r:Region) RETURN r.key AS key, 'a\'b\t\\' + "it's" AS s""", r"""SELECT key, 'a''b' || chr(9) || '\' || 'it''s' AS s FROM n_region"""),
     "string_concat": Case("MATCH (n:Nation)-[:IN_REGION]->(g:Region) RETURN g.name + '/' + n.name AS path", "SELECT g.name || '/' || n.name AS path FROM n_nation n JOIN r_in_region r ON r.src = n.id JOIN n_region g ON g.id = r.dst"),
     "bool_xor_3vl": Case("MATCH (d:Document) RETURN d.key AS key, d.quality = 1 XOR d.toxic = 1 AS x, d.quality = 1 AND d.lang = 'en' AS a, d.quality = 1 OR d.lang = 'en' AS o, NOT d.quality = 1 AS n", "SELECT key, (quality = 1) <> (toxic = 1) AS x, quality = 1 AND lang = 'en' AS a, quality = 1 OR lang = 'en' AS o, NOT quality = 1 AS n FROM n_document"),
     "compare_null": Case("MATCH (d:Document) WHERE d.quality <> 1 OR d.quality = null RETURN d.key AS key", "SELECT key FROM n_document WHERE quality <> 1"),
@@ -150,6 +151,23 @@ CASES: dict[str, Case] = {
     ),
 }
 
+#: The same kind of graph, written to a folder and opened again: STORED with the labels of each node, PLAIN without, so they are looked up.
+_STORED_NODES = """(SELECT key, name, ['Region'] AS labels, NULL::DOUBLE AS rating FROM n_region UNION ALL SELECT key, name, ['Nation'], NULL FROM n_nation
+  UNION ALL SELECT key, name, CASE WHEN acctbal < 0 THEN ['Debtor', 'Supplier'] ELSE ['Supplier'] END, (key % 7)::DOUBLE FROM n_supplier
+  UNION ALL SELECT key, name, CASE WHEN acctbal < 0 THEN ['Customer', 'Debtor'] ELSE ['Customer'] END, acctbal / 2 FROM n_customer
+  UNION ALL SELECT key, NULL, []::VARCHAR[], NULL FROM n_unlabeled)"""
+_OPENED: dict[str, Case] = {
+    "scan": Case("MATCH (s:Supplier) RETURN s.key AS key, s.name AS name, s.acctbal AS acctbal", "SELECT key, name, acctbal FROM n_supplier"),
+    "multi_label": Case("MATCH (d:Debtor:Customer) RETURN d.key AS key, d.acctbal AS acctbal, labels(d) AS labels", "SELECT key, acctbal, ['Customer', 'Debtor'] AS labels FROM n_customer WHERE acctbal < 0"),
+    "labels_fn": Case("MATCH (n) RETURN labels(n) AS labels, count(*) AS c", f"SELECT labels, count(*) AS c FROM {_STORED_NODES} GROUP BY 1"),
+    "widened": Case("MATCH (n) WHERE n.rating IS NOT NULL RETURN n.name AS name, n.rating AS rating", f"SELECT name, rating FROM {_STORED_NODES} WHERE rating IS NOT NULL"),
+    "expand": Case(
+        "MATCH (g:Region)<-[:IN_REGION]-(n)<-[r:IN_NATION]-(d:Debtor) RETURN g.name AS region, count(*) AS c, sum(r.share) AS shares, collect(DISTINCT n.name) AS nations",
+        "SELECT g.name AS region, count(*) AS c, sum(d.key % 5)::BIGINT AS shares, list(DISTINCT n.name ORDER BY n.name) AS nations FROM n_debtor d JOIN r_in_nation r ON r.src = d.id JOIN n_nation n ON n.id = r.dst JOIN r_in_region q ON q.src = n.id JOIN n_region g ON g.id = q.dst GROUP BY 1",
+    ),
+}
+OPENED = {f"{how}_{name}": (case, how == "stored") for how in ("stored", "plain") for name, case in _OPENED.items()}
+
 FLAGSHIP = Case("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 400000 RETURN c.name AS name, o.totalprice AS price ORDER BY price DESC LIMIT 10", "")
 
 
@@ -157,5 +175,9 @@ def _query(case: Case) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: case.run(star_graph(spark, sf_dir))
 
 
-QUERIES = {name: _query(case) for name, case in CASES.items()}
-ORACLE_SQL = {name: PRELUDE + case.sql for name, case in CASES.items()}
+def _opened(case: Case, labels: bool) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: case.run(stored_star(spark, sf_dir, labels))
+
+
+QUERIES = {name: _query(case) for name, case in CASES.items()} | {name: _opened(case, labels) for name, (case, labels) in OPENED.items()}
+ORACLE_SQL = {name: PRELUDE + case.sql for name, case in (CASES | {name: case for name, (case, _) in OPENED.items()}).items()}
