@@ -28,55 +28,50 @@ def spark():
     session.stop()
 
 
-def fill_movies(writer):
-    """A small graph of people and films, with shared labels, loops, parallel edges and an unlabeled node."""
-    born = {"Keanu Reeves": 1964, "Carrie-Anne Moss": 1967, "Laurence Fishburne": 1961, "Hugo Weaving": 1960, "Lilly Wachowski": 1967, "Lana Wachowski": 1965, "Joel Silver": 1952, "Emil Eifrem": 1978, "Taylor Hackford": 1944, "Charlize Theron": 1975, "Al Pacino": 1940}
-    p = {name: writer.add_node(["Person"], {"name": name, "born": year}) for name, year in born.items()}
-    films = {"The Matrix": (1999, "Welcome to the Real World"), "The Matrix Reloaded": (2003, "Free your mind"), "The Devil's Advocate": (1997, "Evil has its winning ways")}
-    m = {title: writer.add_node(["Movie"], {"title": title, "released": year, "tagline": tag}) for title, (year, tag) in films.items()}
-    cast = {"The Matrix": "Keanu Reeves:Neo|Carrie-Anne Moss:Trinity|Laurence Fishburne:Morpheus|Hugo Weaving:Agent Smith|Emil Eifrem:Emil", "The Matrix Reloaded": "Keanu Reeves:Neo|Carrie-Anne Moss:Trinity|Laurence Fishburne:Morpheus|Hugo Weaving:Agent Smith", "The Devil's Advocate": "Keanu Reeves:Kevin Lomax|Charlize Theron:Mary Ann Lomax|Al Pacino:John Milton"}
-    for title, parts in cast.items():
-        for part in parts.split("|"):
-            name, role = part.split(":")
-            writer.add_relationship(p[name], m[title], "ACTED_IN", {"roles": [role]})
-    for name, title in (("Lilly Wachowski", "The Matrix"), ("Lana Wachowski", "The Matrix"), ("Lilly Wachowski", "The Matrix Reloaded"), ("Lana Wachowski", "The Matrix Reloaded"), ("Taylor Hackford", "The Devil's Advocate")):
-        writer.add_relationship(p[name], m[title], "DIRECTED", {})
-    for title in ("The Matrix", "The Matrix Reloaded"):
-        writer.add_relationship(p["Joel Silver"], m[title], "PRODUCED", {})
-    ada = writer.add_node(["Actor", "Artist"], {"name": "Ada", "score": 4.5, "tags": ["lead", "stunt"]})
-    bo = writer.add_node(["Artist", "Actor"], {"name": "Bo", "score": 3})
-    cy = writer.add_node(["Director", "Artist"], {"name": "Cy", "score": 2.5})
-    studio = writer.add_node(["Studio"], {"name": "Big Studio", "founded": dt.datetime(1995, 6, 15, tzinfo=dt.UTC), "location": "point({x: -0.12, y: 51.5, crs: 'wgs-84'})"})
-    writer.add_node(["Release"], {"title": "Film A", "opened": dt.date(2001, 2, 3), "premiere": dt.datetime(2001, 2, 3, 19, 30), "runtime": "PT1H45M", "ratings": [4, 5, 3]})
-    stranger = writer.add_node([], {"name": "Stranger"})
-    writer.add_relationship(ada, ada, "KNOWS", {"since": 2010})
-    writer.add_relationship(bo, stranger, "KNOWS", {})
-    writer.add_relationship(ada, bo, "WORKED_WITH", {"project": "Film A"})
-    writer.add_relationship(ada, bo, "WORKED_WITH", {"project": "Film B"})
-    writer.add_relationship(cy, studio, "WORKS_FOR", {})
+def fill_harbour(writer):
+    """Ships, ports and sailors: labels of two on a node, a loop, parallel edges, an unlabeled node, numbers of two kinds under one name."""
+    port = {name: writer.add_node(["Port"], {"name": name, "depth": depth, "opened": opened}) for name, depth, opened in (("Ostra", 12, dt.date(1901, 5, 6)), ("Velden", 8, None), ("Quill", 20, dt.date(1990, 1, 2)))}
+    ship = {
+        "Marlin": writer.add_node(["Ship"], {"name": "Marlin", "built": 1998, "holds": [3, 4]}),
+        "Tern": writer.add_node(["Ship"], {"name": "Tern", "built": 2005}),
+        "Otter": writer.add_node(["Ship", "Ferry"], {"name": "Otter", "built": 2011, "seats": 120}),
+    }
+    sailor = {
+        "Ines": writer.add_node(["Sailor", "Pilot"], {"name": "Ines", "age": 41, "pay": 3.5}),
+        "Tomas": writer.add_node(["Sailor"], {"name": "Tomas", "age": 29, "pay": 4}),
+        "Wren": writer.add_node(["Sailor"], {"name": "Wren", "age": 33}),
+    }
+    buoy = writer.add_node([], {"name": "Buoy"})
+    for s, p, day in (("Marlin", "Ostra", 1), ("Marlin", "Velden", 3), ("Tern", "Ostra", 2), ("Otter", "Ostra", 5), ("Otter", "Ostra", 9), ("Otter", "Quill", 7)):
+        writer.add_relationship(ship[s], port[p], "CALLS_AT", {"day": day})
+    for who, s, since in (("Ines", "Otter", 2020), ("Ines", "Marlin", 2015), ("Tomas", "Tern", 2018), ("Wren", "Otter", 2021)):
+        writer.add_relationship(sailor[who], ship[s], "SERVES_ON", {"since": since})
+    writer.add_relationship(sailor["Ines"], sailor["Tomas"], "MENTORS", {})
+    writer.add_relationship(sailor["Ines"], sailor["Ines"], "MENTORS", {})
+    writer.add_relationship(buoy, port["Quill"], "MARKS", {})
 
 
 @pytest.fixture(scope="session")
-def movies(spark, tmp_path_factory):
+def harbour(spark, tmp_path_factory):
     from graphtables import GraphWriter
 
-    writer = GraphWriter(spark, f"file://{tmp_path_factory.mktemp('movies')}")
-    fill_movies(writer)
+    writer = GraphWriter(spark, f"file://{tmp_path_factory.mktemp('harbour')}")
+    fill_harbour(writer)
     return writer.write()
 
 
 @pytest.fixture(scope="session")
-def plain_movies(spark, movies):
+def plain_harbour(spark, harbour):
     """The same graph without stored labels, so they have to be looked up."""
     from graphtables import Graph
 
-    return Graph.from_dataframes(spark, {x: n.df.drop("_labels") for x, n in movies.nodes.items()}, {x: r.df for x, r in movies.rels.items()}, {x: n.rows for x, n in movies.nodes.items()})
+    return Graph.from_dataframes(spark, {x: n.df.drop("_labels") for x, n in harbour.nodes.items()}, {x: r.df for x, r in harbour.rels.items()}, {x: n.rows for x, n in harbour.nodes.items()})
 
 
 @pytest.fixture
-def run(movies):
+def run(harbour):
     def go(text, graph=None, **parameters):
-        builder = (graph or movies).query(text)
+        builder = (graph or harbour).query(text)
         for name, value in parameters.items():
             builder.parameter(name, value)
         return [tuple(r) for r in builder.df().collect()]

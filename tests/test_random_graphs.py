@@ -15,6 +15,8 @@ TEMPLATES = [
     ([("a", None), ("b", None), ("c", None)], [("r", ["R"], "right", 0, 1), ("q", ["R"], "right", 1, 2), ("p", [], "both", 2, 0)]),
     ([("a", "A")], [("r", [], "both", 0, 0)]),
     ([("a", "B"), ("b", "A"), ("c", None)], [("r", ["S"], "both", 0, 1)]),
+    ([("a", "A"), ("b", None), ("c", "B")], [("r", ["R"], "both", 0, 1), ("q", ["S"], "both", 1, 2), ("p", ["R", "S"], "left", 2, 0)]),
+    ([("a", None), ("b", "A"), ("c", None), ("d", None)], [("r", ["R"], "right", 0, 1), ("q", [], "both", 1, 2), ("p", ["S"], "left", 2, 3), ("o", [], "both", 3, 0)]),
 ]
 
 
