@@ -124,7 +124,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, width: int = 5, percent:
         placed = tiles.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         shares = placed.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("held"))
         mixed = shares.groupBy("leader").agg(F.max(F.struct("held", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        mixed = mixed.join(sizes, "leader").select("leader", F.col("main.comp").alias("main"), "blocks")
+        mixed = tmp.table(mixed.join(sizes, "leader").select("leader", F.col("main.comp").alias("main"), "blocks"), "mixed")
         open_ = tmp.table(placed.join(mixed, "leader").join(signed.drop("h"), "node").withColumn("band", band), "open")
         a = open_.filter("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
         a = a.select("leader", "band", all_blocks(), "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *(F.col(s).alias(f"a{s}") for s in SIGNATURE))
