@@ -173,6 +173,10 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.decimal = list(map(str, range(len(self.tokens))))
+        self.sizes = np.array(list(map(len, self.tokens)), np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.spelled = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.known: dict[bytes, tuple[int, ...]] = {}
         self.most = most
 
@@ -255,12 +259,25 @@ class Vocabulary:
                 k += 1
         return out
 
-    def offsets(self, ids: list[int]) -> np.ndarray:
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset of each token in the decoded text, and the text's length at the end."""
-        return np.cumsum([0, *map(len, map(self.tokens.__getitem__, ids))])
+        return np.concatenate([[0], np.cumsum(self.sizes[ids])])
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The text of the ids: each byte is taken from its token, which lies at its offset; a piece of tokens at a time, so memory follows the text."""
+        out = []
+        for k in range(0, len(ids), 1 << 16):
+            at = offsets[k : k + (1 << 16) + 1]
+            some = ids[k : k + (1 << 16)]
+            out.append(self.spelled[np.repeat(self.begins[some] - at[:-1], np.diff(at)) + np.arange(at[0], at[-1])].tobytes())
+        return b"".join(out)
+
+    def span(self, ids: np.ndarray, offsets: np.ndarray, begin: int, end: int) -> bytes:
+        """Bytes ``begin`` to ``end`` of the text, from the tokens that lie there alone."""
+        if begin >= end:
+            return b""
+        i, j = np.searchsorted(offsets, begin, "right") - 1, np.searchsorted(offsets, end, "left")
+        return self.decode(ids[i:j], offsets[i : j + 1])[begin - offsets[i] : end - offsets[i]]
 
 
 @lru_cache(4)
@@ -278,7 +295,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         vocab = vocabulary(path)
-        ids = [list(chain.from_iterable(x)) for x in vocab.encode([t or b"" for t in batch.column(1).to_pylist()])]
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in vocab.encode([t or b"" for t in batch.column(1).to_pylist()])]
         return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([vocab.offsets(x) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids", "offsets"])
 
     picked = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").cast("binary").alias("text"))
@@ -291,7 +308,8 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([vocab.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "decoded"])
+            ids = [np.array(x or [], np.int64) for x in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([vocab.decode(x, vocab.offsets(x)) for x in ids], pa.binary())], ["doc_id", "decoded"])
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(run, "doc_id long, decoded binary")
 
@@ -306,10 +324,11 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         vocab = vocabulary(path)
         n, coded, decoded = [], [], []
         for x in vocab.encode([t or b"" for t in batch.column(1).to_pylist()]):
-            ids = list(chain.from_iterable(x))
+            listed = list(chain.from_iterable(x))
+            ids = np.array(listed, np.int64)
             n.append(len(ids))
-            coded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
+            coded.append(hashlib.sha256(" ".join(map(vocab.decimal.__getitem__, listed)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(vocab.decode(ids, vocab.offsets(ids))).hexdigest())
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     picked = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").cast("binary").alias("text"))

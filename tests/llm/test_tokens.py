@@ -65,6 +65,8 @@ def test_encode_and_decode(documents, corpus, reference):
         if r.doc_id == 901:
             raw, vocab = ODD[1].encode(), bpe.vocabulary(BYTES)
             assert [raw[a:b] for a, b in zip(r.offsets, r.offsets[1:])] == [vocab.tokens[i] for i in r.ids]
+            ids, offsets = np.array(r.ids), np.array(r.offsets)
+            assert all(vocab.span(ids, offsets, a, b) == raw[a:b] for a in range(len(raw) + 1) for b in range(a, min(len(raw), a + 40) + 1))
     assert bpe.round_trip(documents([]), BYTES).count() == 0
 
 
