@@ -8,7 +8,7 @@ name of the whole graph, brings all columns to it, and writes the manifest last.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,6 +33,8 @@ class _Table:
     parts: list[tuple[str, dict[tuple[str, str], str]]] = field(default_factory=list)
     rows: list[tuple[tuple, dict[str, object]]] = field(default_factory=list)
     names: set[str] = field(default_factory=set)
+    #: Of source and target: ids, or keys that ``write`` resolves.
+    ends: T.DataType = field(default_factory=T.LongType)
 
 
 class FileNames:
@@ -56,13 +58,17 @@ class GraphWriter:
 
     Ids are unique in the whole graph.  Single rows get them in turn from ``first_id``
     on; rows of DataFrames bring their own, but relationships without one get ids above
-    2**53.
+    2**53.  Single rows may also name nodes by keys of their source: keys are staged
+    like rows, and ``write`` joins them, so the driver holds no table of them.
     """
 
     def __init__(self, spark: SparkSession, path: str, first_id: int = 0):
         self.spark, self.path, self.next = spark, path.rstrip("/"), first_id
         self.nodes: dict[str | None, _Table] = {}
         self.rels: dict[str, _Table] = {}
+        self.keyed: dict[str, _Table] = {}  # relationships between keys
+        self.keys: list[tuple[str, int]] = []
+        self.key_parts: list[str] = []
         self.seen: dict[str, tuple[str, bool]] = {}  # property -> type so far, whether types differed
         self.frames = 0
         m.remove(spark, f"{self.path}/{STAGING}")
@@ -83,6 +89,25 @@ class GraphWriter:
         self._stage(self.rels.setdefault(type_, _Table()), (rel, src, dst, None), values, "relationships")
         return rel
 
+    def add_keyed_node(self, key: str, labels: Iterable[str], properties: Mapping[str, object]) -> int:
+        """As ``add_node``, for a node that ``add_keyed_relationship`` names by ``key``; keys are unique."""
+        node = self.add_node(labels, properties)
+        self.keys.append((key, node))
+        if len(self.keys) >= CHUNK:
+            self._flush_keys()
+        return node
+
+    def add_keyed_relationship(self, src: str, dst: str, type_: str, properties: Mapping[str, object]) -> int:
+        """As ``add_relationship``, between the nodes of two keys, which may be added later."""
+        values = self._values(properties)
+        rel = self._id()
+        self._stage(self.keyed.setdefault(type_, _Table(ends=T.StringType())), (rel, src, dst, None), values, "relationships")
+        return rel
+
+    def _flush_keys(self) -> None:
+        self.key_parts.append(self._save(self.spark.createDataFrame(self.keys, f"key string, {ID} long"), "keys"))
+        self.keys = []
+
     def _id(self) -> int:
         self.next += 1
         return self.next - 1
@@ -121,7 +146,7 @@ class GraphWriter:
                 columns.setdefault((name, type_of(v)), f"c{len(columns)}")
         spark_type = lambda k: T.BooleanType() if k == EMPTY else t.SPARK[k]
         schema = T.StructType(
-            [T.StructField(ID, T.LongType()), T.StructField(SRC, T.LongType()), T.StructField(DST, T.LongType()), T.StructField(LABELS, T.ArrayType(T.StringType()))]
+            [T.StructField(ID, T.LongType()), T.StructField(SRC, table.ends), T.StructField(DST, table.ends), T.StructField(LABELS, T.ArrayType(T.StringType()))]
             + [T.StructField(c, spark_type(k)) for (_, k), c in columns.items()]
         )
         rows = [(*head, *(stored(values[name], k) if name in values and type_of(values[name]) == k else None for name, k in columns)) for head, values in table.rows]
@@ -190,9 +215,11 @@ class GraphWriter:
             schema, rows = self._table(self.nodes[label], types, file, "nodes", [ID, LABELS])
             nodes.append(m.NodeEntry(label, file, rows, schema))
         names = FileNames()
-        for kind in sorted(self.rels, key=str.encode):
+        keys = self._unique_keys() if self.keyed else None
+        for kind in sorted(self.rels.keys() | self.keyed.keys(), key=str.encode):
             file = f"relationships/{names.assign(kind)}.parquet"
-            schema, rows = self._table(self.rels[kind], types, file, "relationships", [ID, SRC, DST])
+            between = (lambda df, kind=kind: self._between(df, kind, keys)) if kind in self.keyed else None
+            schema, rows = self._table(self.rels.get(kind, _Table()), types, file, "relationships", [ID, SRC, DST], self.keyed.get(kind, _Table()), between)
             rels.append(m.RelEntry(kind, file, rows, schema))
         for r in rels:
             for column, some, every in ((SRC, r.src_labels, r.src_all), (DST, r.dst_labels, r.dst_all)):
@@ -203,19 +230,45 @@ class GraphWriter:
         m.remove(self.spark, f"{self.path}/{STAGING}")
         return Graph.open(self.spark, self.path)
 
-    def _table(self, table: _Table, types: dict[str, PropertyType], file: str, kind: str, head: list[str]) -> tuple[list[m.PropertySchema], int]:
-        self._flush(table, kind)
-        names = sorted(table.names, key=str.encode)
+    def _table(self, table: _Table, types: dict[str, PropertyType], file: str, kind: str, head: list[str], keyed: _Table | None = None, between: Callable[[DataFrame], DataFrame] | None = None) -> tuple[list[m.PropertySchema], int]:
+        keyed = keyed or _Table()
+        names = sorted(table.names | keyed.names, key=str.encode)
         if len({x.lower() for x in names}) < len(names) and self.spark.conf.get("spark.sql.caseSensitive") != "true":
             raise GraphError(f"{file} has properties that differ only in case; set spark.sql.caseSensitive to true")
-        parts = []
-        for path, columns in table.parts:
-            df = self.spark.read.parquet(path)
-            parts.append(df.select(*head, *(self._merged(columns, name, types[name].type).alias(name) for name in names)))
+
+        def parts_of(staged: _Table) -> list[DataFrame]:
+            self._flush(staged, kind)
+            return [self.spark.read.parquet(path).select(*head, *(self._merged(columns, name, types[name].type).alias(name) for name in names)) for path, columns in staged.parts]
+
+        parts = parts_of(table)
+        if between is not None:
+            parts.append(between(reduce(DataFrame.union, parts_of(keyed))))
         out = f"{self.path}/{file}"
         reduce(DataFrame.union, parts).write.mode("overwrite").parquet(out)
         return [m.PropertySchema(x, types[x].type, types[x].coerced) for x in names], self.spark.read.parquet(out).count()
 
+    def _unique_keys(self) -> str:
+        """A staged table of the keys of nodes and their ids (key, _id)."""
+        self._flush_keys()
+        keys = reduce(DataFrame.union, map(self.spark.read.parquet, self.key_parts))
+        path = self._save(keys.groupBy("key").agg(F.min(ID).alias(ID), F.count(F.lit(1)).alias("n")), "keys")
+        twice = self.spark.read.parquet(path).filter("n > 1").first()
+        if twice:
+            raise GraphError(f"{twice['n']} nodes have the key `{twice['key']}`")
+        return path
+
+    def _between(self, df: DataFrame, type_: str, keys: str) -> DataFrame:
+        """``df`` (id, source, target, properties) with the ids of the nodes that its ends are keys of."""
+        names = df.columns
+        out = df.toDF("rel", "a", "b", *(f"c{k}" for k in range(len(names) - 3)))
+        for end in "ab":
+            out = out.join(self.spark.read.parquet(keys).select(F.col("key").alias(end), F.col(ID).alias("id_" + end)), end, "left")
+        found = self.spark.read.parquet(self._save(out, "relationships"))
+        lost = found.filter("id_a is null or id_b is null").first()
+        if lost:
+            raise GraphError(f"a relationship of type `{type_}` has an end `{lost['b'] if lost['id_a'] is not None else lost['a']}` that is not among the nodes")
+        return found.select("rel", "id_a", "id_b", *(f"c{k}" for k in range(len(names) - 3))).toDF(*names)
+
     def _merged(self, columns: dict[tuple[str, str], str], name: str, wanted: str) -> Column:
         """The one column of a property, from those of the types that it was staged with."""
         found = []

@@ -200,6 +200,30 @@ def test_export(spark, tmp_path, capsys):
     assert schema_text(g).count("rows") == 3
 
 
+def test_keyed_rows(spark, tmp_path, monkeypatch):
+    """Keys over many chunks, relationships before their nodes, of one type by key and by id, with clashing names."""
+    monkeypatch.setattr("graphtables.sources.writer.CHUNK", 7)
+    w = GraphWriter(spark, f"file://{tmp_path}/g")
+    for k in range(40):
+        w.add_keyed_relationship(f"n{k}", f"n{(k * 3 + 1) % 40}", "R", {"c0": k, "key": str(k), "a": k % 2 == 0} if k % 4 else {"rel": [k]})
+    ids = {f"n{k}": w.add_keyed_node(f"n{k}", ["A"] if k % 2 else ["A", "B"], {"k": k}) for k in range(40)}
+    w.add_relationship(ids["n0"], ids["n39"], "R", {"c0": 99})
+    g = w.write()
+    got = {tuple(r) for r in g.query("MATCH (x:A)-[r:R]->(y:A) RETURN x.k, y.k, r.c0, r.key, r.a").df().collect()}
+    assert got == {(k, (k * 3 + 1) % 40, *((k, str(k), k % 2 == 0) if k % 4 else (None,) * 3)) for k in range(40)} | {(0, 39, 99, None, None)}
+    assert {tuple(r.rel) for r in g.query("MATCH ()-[r:R]->() WHERE r.rel IS NOT NULL RETURN r.rel AS rel").df().collect()} == {(k,) for k in range(0, 40, 4)}
+    w = GraphWriter(spark, f"file://{tmp_path}/twice")
+    w.add_keyed_node("x", ["A"], {})
+    w.add_keyed_node("x", ["A"], {})
+    w.add_keyed_relationship("x", "x", "R", {})
+    with pytest.raises(GraphError, match="2 nodes have the key `x`"):
+        w.write()
+    w = GraphWriter(spark, f"file://{tmp_path}/none")
+    w.add_keyed_relationship("x", "y", "R", {})
+    with pytest.raises(GraphError, match="not among the nodes"):
+        w.write()
+
+
 def test_decode():
     assert decode(dt.datetime(1970, 1, 1, 1, tzinfo=dt.timezone(dt.timedelta(hours=1)))) == dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
     assert (decode(42), decode(None), decode(dt.date(1970, 1, 11)), decode(b"\x01\x02"), decode([1, None])) == (42, None, dt.date(1970, 1, 11), [1, 2], [1])
