@@ -433,8 +433,9 @@ def nearest(spark: SparkSession, df: DataFrame, every: int = 20, k: int = 20, id
 
     Ties go to the smaller id.  Vectors that are null, empty, zero or hold a null or a
     component that is not finite take no part, on either side, nor do rows without an
-    id.  With fewer candidates all are returned.  Rows that repeat id and vector count
-    once.  Other columns are not read.
+    id and vectors of another number of components than most distinct ones have (of two
+    equally frequent numbers, the smaller one counts).  With fewer candidates all are
+    returned.  Rows that repeat id and vector count once.  Other columns are not read.
     """
     rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].alias("vector"))
     schema = "query_id long, rank int, vec_id long, score double"
