@@ -27,6 +27,8 @@ from graphtables.llm.common import fold, map_batches, mix64, slices, small_batch
 BITS = 17
 GRAMS = 4
 ROWS = 4000
+#: Bytes of text whose words are looked up at a time: words and sums take many times as much memory.
+PIECE = 1 << 19
 #: Languages that a model learns at most: the most frequent ones.
 LANGUAGES = 64
 UNKNOWN = "und"
@@ -232,7 +234,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
         names, scores = decisions(shared.value, state[0], piece.column("text").to_pylist())
         return pa.record_batch([piece.column("doc_id"), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    out = map_batches(df.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double", most=2 << 20)
+    out = map_batches(df.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double", most=PIECE)
     return out.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
@@ -266,7 +268,7 @@ def known_language(spark: SparkSession, df: DataFrame, keep: Collection[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = WordSums(shared.value.weights)
-        for piece in slices(batches, text_col, 2 << 20):
+        for piece in slices(batches, text_col, PIECE):
             names, scores = decisions(shared.value, sums, piece.column(text_col).to_pylist())
             yield piece.filter(pa.array([x != UNKNOWN and s >= least and (wanted is None or x in wanted) for x, s in zip(names, scores.tolist())], pa.bool_()))
 

@@ -7,7 +7,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from graphtables.llm import bpe, language
 from graphtables.llm.common import map_batches
 
 
@@ -34,3 +36,23 @@ def test_worker_gives_memory_back(spark):
             break
         time.sleep(0.1)
     assert held_mb(r.pid) < r.before + 60
+
+
+@pytest.mark.parametrize("module", [bpe, language])
+def test_small_pieces(spark, monkeypatch, module):
+    """Texts are taken apart at most half a MiB at a time, whatever a batch holds."""
+    taken = []
+
+    def spy(df, make, schema, column="text", most=4 << 20):
+        taken.append(most)
+        return map_batches(df, make, schema, column, most)
+
+    monkeypatch.setattr(module, "map_batches", spy)
+    docs = spark.createDataFrame([(k, "the quick brown fox " * 30, "en") for k in range(8)], "doc_id long, text string, lang string")
+    if module is bpe:
+        import public_tokenizers
+
+        assert len({r.ids_sha256 for r in bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}) == 1
+    else:
+        assert {r.lang_pred for r in language.languages(spark, docs).collect()} == {"en"}
+    assert taken and max(taken) <= 1 << 19
